@@ -78,10 +78,10 @@ def _binary(name: str, expression: str) -> None:
     def query(s: SparkSession, d: str) -> DataFrame:
         a = img(s, d).select("y", "x", (F.col("raw") / 1000).alias("v"))
         other = img(s, d).select((F.col("y") + 1).alias("y"), "x", (F.col("raw") / 2000 + 1).alias("v"))
-        return rounded(el.apply_operation(a, other, name, YX))
+        return rounded(el.apply_operation(a, other, name, YX), nudge=0.0 if "CAST" in expression else NUDGE)
 
     query.__name__ = f"p_{name}"
-    value = f"round({expression}, {DIGITS}) + 0.0" if "CAST" not in expression else expression
+    value = f"round({expression} + {NUDGE}, {DIGITS}) + 0.0" if "CAST" not in expression else expression
     register(f"SELECT p.y, p.x, {value} AS v FROM (SELECT y, x, raw / 1000 AS raw FROM img) p JOIN (SELECT y + 1 AS y, x, raw / 2000 + 1 AS raw FROM img) q ON p.y = q.y AND p.x = q.x")(query)
 
 
@@ -335,11 +335,11 @@ def g0_region_features(s, d):
 
 
 @register(
-    f"WITH {FACES}, n AS (SELECT seg, avg(raw) AS m, avg(y) AS cy FROM img GROUP BY seg) SELECT e.u, e.v, round(least(p.m, q.m), 4) AS min_mean, round(greatest(p.m, q.m), 4) AS max_mean, round(abs(p.m - q.m), 4) AS absdiff_mean, round(p.m + q.m, 4) AS sum_mean, round(power(p.cy - q.cy, 2), 4) AS sq_cy FROM e JOIN n p ON e.u = p.seg JOIN n q ON e.v = q.seg"
+    f"WITH {FACES}, n AS (SELECT seg, avg(raw) AS m, avg(y) AS cy FROM img GROUP BY seg) SELECT e.u, e.v, round(least(p.m, q.m) + 1.3e-6, 4) AS min_mean, round(greatest(p.m, q.m) + 1.3e-6, 4) AS max_mean, round(abs(p.m - q.m) + 1.3e-6, 4) AS absdiff_mean, round(p.m + q.m + 1.3e-6, 4) AS sum_mean, round(power(p.cy - q.cy, 2) + 1.3e-6, 4) AS sq_cy FROM e JOIN n p ON e.u = p.seg JOIN n q ON e.v = q.seg"
 )
 def g6_edge_region_features(s, d):
     i = img(s, d)
-    return rounded(rg.edge_region_features(rg.rag(i), rg.region_features(i), ["mean"], ["cy"]))
+    return rounded(rg.edge_region_features(rg.rag(i), rg.region_features(i), ["mean"], ["cy"]), nudge=NUDGE)
 
 
 @register("WITH f AS (SELECT DISTINCT p.label AS u, q.label AS v FROM vol p JOIN vol q ON q.z = p.z AND q.y = p.y AND q.x = p.x + 1 WHERE p.label < q.label), l AS (SELECT label, max(z) AS z FROM vol GROUP BY label) SELECT u, v, a.z <> b.z AS z_edge FROM f JOIN l a ON u = a.label JOIN l b ON v = b.label")
