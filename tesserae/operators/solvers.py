@@ -84,10 +84,35 @@ def greedy_additive(n: int, u: np.ndarray, v: np.ndarray, w: np.ndarray, stop: f
     return f.labels()
 
 
+def _exchange(members: list[int], near: list[list[tuple[int, float]]], lab: list[int], a: int, b: int) -> bool:
+    """One pass over two clusters: nodes change sides one by one, best gain first; the best prefix of the moves stays."""
+    inside, total, best, keep, moves = set(members), 0.0, 1e-9, 0, []
+    gain = {i: sum((x if lab[j] != lab[i] else -x) for j, x in near[i] if j in inside) for i in members}
+    while gain:
+        i = max(gain, key=lambda k: (gain[k], -k))
+        total += gain.pop(i)
+        old, lab[i] = lab[i], b if lab[i] == a else a
+        moves.append((i, old))
+        for j, x in near[i]:
+            if j in gain:
+                gain[j] += -2 * x if lab[j] == lab[i] else 2 * x
+        if total > best:
+            best, keep = total, len(moves)
+    for i, old in moves[keep:]:
+        lab[i] = old
+    return keep > 0
+
+
+#: Pairs of clusters with more nodes than this are not searched by sequences of moves.
+EXCHANGE = 400
+
+
 def kernighan_lin(n: int, u: np.ndarray, v: np.ndarray, w: np.ndarray, labels: np.ndarray | None = None, rounds: int = 20) -> np.ndarray:
-    """Local moves of single nodes to the neighbouring or a new cluster while the energy falls, then joins of clusters."""
-    lab = greedy_additive(n, u, v, w) if labels is None else np.unique(labels, return_inverse=True)[1]
-    lab = lab.tolist()
+    """While the energy falls: moves of single nodes, joins of clusters, and sequences of moves between two clusters or into a new one."""
+    if labels is None:  # once from the greedy solution, once from a single cluster; the better one counts
+        found = [kernighan_lin(n, u, v, w, x, rounds) for x in (greedy_additive(n, u, v, w), np.zeros(n, np.int64))]
+        return min(found, key=lambda x: float(w[x[u] != x[v]].sum()))
+    lab = np.unique(labels, return_inverse=True)[1].tolist()
     near: list[list[tuple[int, float]]] = [[] for _ in range(n)]
     for a, b, x in zip(u.tolist(), v.tolist(), w.tolist(), strict=True):
         near[a].append((b, x))
@@ -114,6 +139,15 @@ def kernighan_lin(n: int, u: np.ndarray, v: np.ndarray, w: np.ndarray, labels: n
         if good:
             k = max(good, key=lambda k: (between[k], k))
             lab, moved = [k[0] if x == k[1] else x for x in lab], True
+        groups: dict[int, list[int]] = defaultdict(list)
+        for i, c in enumerate(lab):
+            groups[c].append(i)
+        for a, b in [*sorted({(min(lab[x], lab[y]), max(lab[x], lab[y])) for x, y in zip(u.tolist(), v.tolist(), strict=True) if lab[x] != lab[y]}), *((c, -1 - c) for c in sorted(groups))]:
+            members = [i for i in {*groups[a], *groups.get(b, [])} if lab[i] in (a, b)]
+            if 1 < len(members) <= EXCHANGE and _exchange(sorted(members), near, lab, a, b):
+                moved = True
+        lab = np.unique(lab, return_inverse=True)[1].tolist()
+        fresh = max(lab, default=0) + 1
         if not moved:
             break
     return np.array(lab)

@@ -57,9 +57,17 @@ def _frame(a: np.ndarray, begin: Sequence[int], names: Sequence[str], roi: dict[
 
 
 def _meta(spark: SparkSession, path: str, name: str) -> dict | None:
-    """A JSON file of a container, read through Spark so that any file system works."""
-    rows = spark.read.format("binaryFile").option("pathGlobFilter", name).load(path).limit(1).collect()
-    return json.loads(bytes(rows[0]["content"])) if rows else None
+    """A JSON file of a container, opened by Spark's file system so that any store works."""
+    jvm = spark._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path, name)
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(target):
+        return None
+    stream = fs.open(target)
+    try:
+        return json.loads(jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+    finally:
+        stream.close()
 
 
 def read_chunked(spark: SparkSession, path: str, roi: dict[str, tuple[int, int]] | None = None) -> DataFrame:
