@@ -86,15 +86,15 @@ def _vote(value: Column, good: float, bad: float) -> Column:
 
 #: name -> vote; thresholds hold for any corpus size.
 RULES = {
-    "symbols": _vote(_share("_q_n_symbols", "_q_n_words"), 0.02, 0.10),
-    "dup_lines": _vote(_share("_q_n_dup_lines", "_q_n_lines"), 0.10, 0.34),
-    "repeats": _vote(_share("_q_n_repeat", "_q_n_words"), 0.15, 0.40),
-    "capitals": _vote(_share("_q_n_upper", "_q_word_chars"), 0.08, 0.25),
-    "shouting": _vote(_share("_q_n_bang", "_q_n_words"), 0.02, 0.15),
-    "short_words": _vote(_share("_q_n_short", "_q_n_words"), 0.15, 0.06),
-    "long_words": _vote(_share("_q_n_long", "_q_n_words"), 0.60, 0.80),
-    "bare_words": _vote(_share("_q_n_bare", "_q_n_words"), 0.03, 0.15),
-    "mean_length": F.when(F.col("_q_n_words") < 5, 0).when((F.col("_q_word_chars") > 9 * F.col("_q_n_words")) | (F.col("_q_word_chars") < 2 * F.col("_q_n_words")), -1).otherwise(1),
+    "symbols": lambda: _vote(_share("_q_n_symbols", "_q_n_words"), 0.02, 0.10),
+    "dup_lines": lambda: _vote(_share("_q_n_dup_lines", "_q_n_lines"), 0.10, 0.34),
+    "repeats": lambda: _vote(_share("_q_n_repeat", "_q_n_words"), 0.15, 0.40),
+    "capitals": lambda: _vote(_share("_q_n_upper", "_q_word_chars"), 0.08, 0.25),
+    "shouting": lambda: _vote(_share("_q_n_bang", "_q_n_words"), 0.02, 0.15),
+    "short_words": lambda: _vote(_share("_q_n_short", "_q_n_words"), 0.15, 0.06),
+    "long_words": lambda: _vote(_share("_q_n_long", "_q_n_words"), 0.60, 0.80),
+    "bare_words": lambda: _vote(_share("_q_n_bare", "_q_n_words"), 0.03, 0.15),
+    "mean_length": lambda: F.when(F.col("_q_n_words") < 5, 0).when((F.col("_q_word_chars") > 9 * F.col("_q_n_words")) | (F.col("_q_word_chars") < 2 * F.col("_q_n_words")), -1).otherwise(1),
 }
 
 
@@ -137,7 +137,7 @@ def judge(docs: DataFrame, text: str = "text", threshold: float = 0.5, keep_colu
     """
     names = list(dict.fromkeys(keep_columns or docs.columns))
     measured = with_measures(docs.select(*{*names, text}), text)
-    measured = measured.withColumns({f"_q_vote_{k}": v.cast("int") for k, v in RULES.items()})
+    measured = measured.withColumns({f"_q_vote_{k}": v().cast("int") for k, v in RULES.items()})
     slim = cut(measured.select(*names, *[c for c in measured.columns if c.startswith("_q_")]))
     votes = [f"_q_vote_{k}" for k in RULES]
     enough = slim.where(f"_q_n_words >= {MIN_WORDS}")  # documents that fail the base rule say nothing about the others
