@@ -13,6 +13,10 @@ from tesserae.llm.blocks import groups
 from tesserae.llm.session import cut
 
 
+#: Runs up to this size are searched for a possible pair before they are passed on.
+SMALL_RUN = 64
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """(node, component) for all nodes of ``edges``; the component is its smallest node.
 
@@ -56,6 +60,17 @@ def runs_of_keys(keys: DataFrame, near: Callable[[np.ndarray, np.ndarray], np.nd
         shared = np.repeat(rows[ends - 1, 1] != rows[starts, 1], ends - starts)
         rows, hub = rows[shared], rows[first[shared]]
         direct = near(hub[:, 2], rows[:, 2]) & (hub[:, 1] != rows[:, 1])
+        # Rows that no row of their run can be linked with only share the key by chance; runs too long to test keep all.
+        starts, ends = groups(rows[:, 0])
+        size = np.repeat(ends - starts, ends - starts)
+        keep = np.logical_or.reduceat(direct, starts)[np.repeat(np.arange(len(starts)), ends - starts)] if len(starts) else direct
+        keep |= size > SMALL_RUN
+        for i, j in zip(starts.tolist(), ends.tolist(), strict=True):
+            if 2 < j - i <= SMALL_RUN and not keep[i]:
+                load, ids = rows[i:j, 2], rows[i:j, 1]
+                left, right = np.triu_indices(j - i, 1)
+                keep[i:j] = (near(load[left], load[right]) & (ids[left] != ids[right])).any()
+        rows, hub, direct = rows[keep], hub[keep], direct[keep]
         return pa.table({"run": rows[:, 0], "hub": hub[:, 1], "id": rows[:, 1], "load": rows[:, 2], "direct": direct})
 
     return keys.groupBy("bucket").applyInArrow(find, "run long, hub long, id long, load long, direct boolean")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +20,9 @@ def cut(df: DataFrame) -> DataFrame:
     (single-machine tests) a temporary one is made.
     """
     spark = df.sparkSession
+    # Shuffle files of lineages cut before are deleted once the driver has collected their garbage.
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
