@@ -99,7 +99,7 @@ def links(runs: DataFrame, verify: Callable[[DataFrame], DataFrame], near: Calla
     held = cut(verify(first))
     known = components(held)
     tagged = runs.join(known.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = tagged.groupBy("run").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo <> hi")
+    mixed = tagged.groupBy("run").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo <> hi AND n > 2")  # a run of two has no pair but its hub's
     open_ = tagged.join(mixed, "run").withColumn("parts", F.ceil(F.col("n") / block).cast("int")).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     placed = open_.select("run", "id", "load", "component", "part", F.explode(F.expr("sequence(0, parts - 1)")).alias("other")).withColumn("lo", F.least("part", "other")).withColumn("hi", F.greatest("part", "other"))
 

@@ -167,7 +167,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     every = cut(signed(docs, doc_id, text))
     filled = every.where("n_shingles > 0")
     classes = cut(filled.groupBy("set_key").agg(F.min_by(F.struct("doc_id", "n_shingles", "signature"), "doc_id").alias("r")).select("set_key", "r.*"))
-    runs = cut(runs_of_keys(keyed(classes, bucket_count(classes.count(), 256)), near_sizes))
+    runs = cut(runs_of_keys(keyed(classes, bucket_count(classes.count(), 4096)), near_sizes))
     candidates = runs.select("id").distinct()
     some, _ = hashed_semi(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "doc_id", candidates, "id")
     sets = cut(full_sets(some.join(candidates.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")))
