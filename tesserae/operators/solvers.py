@@ -120,6 +120,16 @@ def kernighan_lin(n: int, u: np.ndarray, v: np.ndarray, w: np.ndarray, labels: n
     fresh = max(lab, default=0) + 1
     for _ in range(rounds):
         moved = False
+        groups: dict[int, list[int]] = defaultdict(list)
+        for i, c in enumerate(lab):
+            groups[c].append(i)
+        for a, b in [*sorted({(min(lab[x], lab[y]), max(lab[x], lab[y])) for x, y in zip(u.tolist(), v.tolist(), strict=True) if lab[x] != lab[y]}), *((c, -1 - c) for c in sorted(groups))]:
+            members = [i for i in {*groups[a], *groups.get(b, [])} if lab[i] in (a, b)]
+            if 1 < len(members) <= EXCHANGE and _exchange(sorted(members), near, lab, a, b):
+                moved = True
+        fresh = max(lab, default=0) + 1
+        lab = [c if c >= 0 else fresh - c for c in lab]
+        fresh = max(lab, default=0) + 1
         for i in range(n):
             pull: dict[int, float] = defaultdict(float)
             for j, x in near[i]:
@@ -139,13 +149,6 @@ def kernighan_lin(n: int, u: np.ndarray, v: np.ndarray, w: np.ndarray, labels: n
         if good:
             k = max(good, key=lambda k: (between[k], k))
             lab, moved = [k[0] if x == k[1] else x for x in lab], True
-        groups: dict[int, list[int]] = defaultdict(list)
-        for i, c in enumerate(lab):
-            groups[c].append(i)
-        for a, b in [*sorted({(min(lab[x], lab[y]), max(lab[x], lab[y])) for x, y in zip(u.tolist(), v.tolist(), strict=True) if lab[x] != lab[y]}), *((c, -1 - c) for c in sorted(groups))]:
-            members = [i for i in {*groups[a], *groups.get(b, [])} if lab[i] in (a, b)]
-            if 1 < len(members) <= EXCHANGE and _exchange(sorted(members), near, lab, a, b):
-                moved = True
         lab = np.unique(lab, return_inverse=True)[1].tolist()
         fresh = max(lab, default=0) + 1
         if not moved:
