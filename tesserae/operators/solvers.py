@@ -104,7 +104,7 @@ def _exchange(members: list[int], near: list[list[tuple[int, float]]], lab: list
 
 
 #: Pairs of clusters with more nodes than this are not searched by sequences of moves.
-EXCHANGE = 400
+EXCHANGE = 32
 
 
 def kernighan_lin(n: int, u: np.ndarray, v: np.ndarray, w: np.ndarray, labels: np.ndarray | None = None, rounds: int = 20) -> np.ndarray:
