@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.blocks import groups
+from tesserae.llm.blocks import groups, ranges
 from tesserae.llm.session import cut
 
 
@@ -87,13 +87,17 @@ def pack(key: np.ndarray, ids: np.ndarray, load: np.ndarray, buckets: int) -> pa
     return pa.RecordBatch.from_arrays([pa.array(bucket[starts], pa.int32()), pa.array([rows[i:j].tobytes() for i, j in zip(starts, ends, strict=True)], pa.binary())], ["bucket", "blob"])
 
 
-def links(runs: DataFrame, verify: Callable[[DataFrame], DataFrame], near: Callable[[np.ndarray, np.ndarray], np.ndarray], block: int = 2048) -> DataFrame:
+def links(runs: DataFrame, verify: Callable[[DataFrame], DataFrame], near: Callable[[np.ndarray, np.ndarray], np.ndarray], block: int = 2048, sketches: DataFrame | None = None, enough: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray] | None = None) -> DataFrame:
     """Verified links (a, b) that connect all rows which some run brings together and ``verify`` accepts.
 
     First every row is compared with the hubs of its runs. Rows then known to be connected need no
     further test; all other pairs of a run are tested directly, in blocks of ``block`` rows, so that
     no pair that could join two components is skipped and no group of copies is spelt out pairwise.
     ``near`` is a cheap vectorised test of two loads, ``verify`` maps pairs (a, b) to those that hold.
+
+    ``sketches`` (id, codes) holds the 16-bit codes of each row's elements. With it a block passes on only
+    the pairs for which ``enough(load, loads, shared)`` holds; equal elements have equal codes, so that
+    ``shared`` is never below the true number and no pair that ``verify`` would accept is missed.
     """
     first = cut(runs.where("direct").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct())
     held = cut(verify(first))
@@ -101,15 +105,31 @@ def links(runs: DataFrame, verify: Callable[[DataFrame], DataFrame], near: Calla
     tagged = runs.join(known.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = tagged.groupBy("run").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo <> hi AND n > 2")  # a run of two has no pair but its hub's
     open_ = tagged.join(mixed, "run").withColumn("parts", F.ceil(F.col("n") / block).cast("int")).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    placed = open_.select("run", "id", "load", "component", "part", F.explode(F.expr("sequence(0, parts - 1)")).alias("other")).withColumn("lo", F.least("part", "other")).withColumn("hi", F.greatest("part", "other"))
+    if sketches is not None:
+        open_ = open_.join(sketches, "id")
+    else:
+        open_ = open_.withColumn("codes", F.lit(None).cast("binary"))
+    placed = open_.select("run", "id", "load", "component", "codes", "part", F.explode(F.expr("sequence(0, parts - 1)")).alias("other")).withColumn("lo", F.least("part", "other")).withColumn("hi", F.greatest("part", "other"))
+
+    sketched = sketches is not None
 
     def cross(group: pa.Table) -> pa.Table:
         ids, load, comp, part, lo, hi = (group[c].to_numpy() for c in ("id", "load", "component", "part", "lo", "hi"))
         left, right = np.flatnonzero(part == lo[0]), np.flatnonzero(part == hi[0])
         found = [np.zeros((0, 2), np.int64)]
+        blobs = group["codes"].to_pylist() if sketched else []
+        codes = np.frombuffer(b"".join(blobs), "<u2")
+        counts = np.array([len(x) // 2 for x in blobs], np.int64)
+        begin, marked = np.cumsum(counts) - counts, np.zeros(1 << 16, bool)
         for i in left:
             js = right[(comp[right] != comp[i]) & ((ids[right] > ids[i]) | (lo[0] != hi[0]))]
             js = js[near(np.full(len(js), load[i]), load[js])]
+            if sketched and len(js):
+                own = codes[begin[i] : begin[i] + counts[i]]
+                marked[own] = True
+                shared = np.add.reduceat(marked[codes[ranges(begin[js], counts[js])]], np.cumsum(counts[js]) - counts[js], dtype=np.int64)
+                marked[own] = False
+                js = js[enough(load[i], load[js], shared)]
             found.append(np.column_stack([np.minimum(ids[i], ids[js]), np.maximum(ids[i], ids[js])]))
         pairs = np.unique(np.concatenate(found), axis=0)
         return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})

@@ -130,6 +130,22 @@ def near_sizes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return DENOMINATOR * np.minimum(a, b) >= NUMERATOR * np.maximum(a, b)
 
 
+def enough(size: np.ndarray, sizes: np.ndarray, shared: np.ndarray) -> np.ndarray:
+    """Whether sets of these sizes that share this many elements reach the threshold."""
+    return DENOMINATOR * shared >= NUMERATOR * (size + sizes - shared)
+
+
+def coded(sets: DataFrame) -> DataFrame:
+    """(id, codes): the last 16 bits of every shingle hash, a quarter of the bytes of the set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            codes = [np.frombuffer(x.as_buffer(), "<u2")[::4].tobytes() for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(codes, pa.binary())], ["id", "codes"])
+
+    return sets.select("id", "shingles").mapInArrow(run, "id long, codes binary")
+
+
 def full_sets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, signature, shingles) with the whole sorted shingle set of each document."""
 
@@ -171,7 +187,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     candidates = runs.select("id").distinct()
     some, _ = hashed_semi(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "doc_id", candidates, "id")
     sets = cut(full_sets(some.join(candidates.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")))
-    held = links(runs, lambda pairs: confirm(pairs, sets), near_sizes)
+    held = links(runs, lambda pairs: confirm(pairs, sets), near_sizes, sketches=coded(sets), enough=enough)
     found = components(held)
     grouped = classes.select("set_key", F.col("doc_id").alias("node")).join(found, "node", "left").select("set_key", F.coalesce("component", "node").alias("component"))
     out = every.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("set_key")).alias("set_key")).join(grouped, "set_key", "left")
