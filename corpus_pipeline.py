@@ -48,7 +48,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality_rules", quality), ("line_dedup", lines), ("minhash", near), ("surrogates", private), ("packing", pack)]
 
-#: Connected components, keyed ciphers and token packing can't be written in SQL; tests/llm/test_operators.py runs the stages on a small fixture.
+#: Connected components, keyed ciphers and token packing can't be written in SQL; tests/llm/test_operators.py runs all stages but packing on a small fixture.
 ORACLE_SQL = None
 
 
