@@ -55,6 +55,7 @@ def runs_of_keys(keys: DataFrame, near: Callable[[np.ndarray, np.ndarray], np.nd
     def find(group: pa.Table) -> pa.Table:
         rows = np.concatenate([np.frombuffer(x, "<i8").reshape(-1, 3) for x in group["blob"].to_pylist()])
         rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+        rows = rows[np.append(True, (rows[1:, :2] != rows[:-1, :2]).any(axis=1))]  # an id may come more than once
         starts, ends = groups(rows[:, 0])
         first = np.repeat(starts, ends - starts)
         shared = np.repeat(rows[ends - 1, 1] != rows[starts, 1], ends - starts)

@@ -96,6 +96,69 @@ def test_line_dedup(docs):
     assert line_dedup.deduplicate(empty(docs)).count() == 0
 
 
+def line_rows(lines):
+    data = np.frombuffer(b"".join(lines), np.uint8)
+    return data, np.append(0, np.cumsum([len(x) for x in lines]))
+
+
+def near_lines(lines, similarity=0.9):
+    """Pairs of line numbers that share a key and whose loads are close."""
+    data, offsets = line_rows(lines)
+    load, held = line_dedup.loads(data, offsets), {}
+    for r, k in zip(*line_dedup.line_keys(data, offsets, similarity), strict=True):
+        held.setdefault(int(k), set()).add(int(r))
+    pairs = {(a, b) for rows in held.values() for a in rows for b in rows if a < b}
+    return {(a, b) for a, b in pairs if line_dedup.close(load[[a]], load[[b]], similarity)[0]}
+
+
+def edited(random, line, edits, alphabet):
+    line = bytearray(line)
+    for _ in range(edits):
+        at, what = int(random.integers(len(line))), random.integers(3)
+        line[at : at + (what != 1)] = [] if what == 0 else [int(random.choice(alphabet))]
+    return bytes(line)
+
+
+def test_line_keys_of_short_lines_miss_nothing():
+    random, alphabet = np.random.default_rng(8), np.frombuffer(b"abcdefgh ", np.uint8)
+    pairs = []
+    for n in range(9, line_dedup.SEGMENTED):
+        for _ in range(80):
+            a = bytes(random.choice(alphabet, n).tolist())
+            b = edited(random, a, int(random.integers(1, n // 10 + 2)), alphabet)
+            longer = max(len(a), len(b))
+            if a != b and longer < line_dedup.SEGMENTED and line_dedup.edit_distance(a, b, longer) <= line_dedup.most_edits(longer, 0.9):
+                pairs.append((a, b))
+    found = near_lines([x for p in pairs for x in p])
+    assert len(pairs) > 500 and all((2 * k, 2 * k + 1) in found for k in range(len(pairs)))
+
+
+@pytest.mark.parametrize(("words", "least"), [(10, 0.97), (20, 0.99), (50, 0.99), (0, 0.99)])
+def test_line_keys_of_one_edit(words, least):
+    random, pairs = np.random.default_rng(words), []
+    for _ in range(200):
+        if words:
+            a = random.choice(WORDS, words).tolist()
+            b = list(a)
+            b[random.integers(words)] = "other"
+            pairs.append((" ".join(a).encode(), " ".join(b).encode()))
+        else:  # a line without blanks
+            a = random.integers(0x4E00, 0x9FA5, 40).tolist()
+            b = list(a)
+            b[random.integers(40)] = 0x3042
+            pairs.append(("".join(map(chr, a)).encode(), "".join(map(chr, b)).encode()))
+    pairs = [(a, b) for a, b in pairs if a != b and line_dedup.edit_distance(a, b, 99) <= line_dedup.most_edits(max(len(a), len(b)), 0.9)]
+    found = near_lines([x for p in pairs for x in p])
+    assert len(pairs) > 100 and np.mean([(2 * k, 2 * k + 1) in found for k in range(len(pairs))]) >= least
+
+
+def test_line_dedup_finds_edited_lines(spark):
+    ten, cjk = " ".join(WORDS[200:210]), "".join(chr(0x4E00 + 37 * k) for k in range(30))
+    rows = [(1, f"{ten}\n{cjk}"), (2, ten.replace(WORDS[204], "other") + "\n" + cjk.replace(chr(0x4E00 + 37 * 12), "あ")), (3, "entirely different words stand in here")]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: rows[0][1], 2: "", 3: rows[2][1]}
+
+
 def test_quality_rules(docs):
     got = {r["doc_id"]: r for r in quality_rules.judge(docs).collect()}
     assert got[4]["base_failed"] and got[4]["n_words"] == 0 and not got[1]["base_failed"]
