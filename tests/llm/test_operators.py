@@ -159,6 +159,12 @@ def test_line_dedup_finds_edited_lines(spark):
     assert got == {1: rows[0][1], 2: "", 3: rows[2][1]}
 
 
+def test_line_dedup_short_copies(spark):
+    rows = [(1, "Read more\n\nfirst"), (2, "read more!\n--\nsecond"), (3, "Share this\nRead more"), (4, "Share this")]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: "Read more\n\nfirst", 2: "--\nsecond", 3: "Share this", 4: ""}
+
+
 def test_quality_rules(docs):
     got = {r["doc_id"]: r for r in quality_rules.judge(docs).collect()}
     assert got[4]["base_failed"] and got[4]["n_words"] == 0 and not got[1]["base_failed"]
