@@ -7,8 +7,8 @@ over the entity forwards and backwards, each character shifted by a keyed hash o
 already written, and so is one-to-one among strings of a shape: two entities never share a
 surrogate, and an entity has the same surrogate wherever it occurs. The last letter of a name and its
 title stay, so that its grammatical gender stays visible. A collision check looks for surrogates that
-are themselves entities of the corpus (or equal their own original) and walks on along the cipher's
-cycle until they are not; walking along a permutation keeps it one-to-one.
+are themselves entities of the corpus (or equal their own original); those entities get surrogates
+under further keys, then longer ones, until each is neither an entity nor another's surrogate.
 
 Defined cases: null stays null and empty stays empty; texts without entities are returned unchanged;
 repeated rows get equal surrogates; an empty table gives an empty result; further columns pass
@@ -17,6 +17,9 @@ through (internal names start with ``_p``).
 
 from __future__ import annotations
 
+import unicodedata
+from collections import defaultdict
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,6 +46,26 @@ TITLE = r"^(?:Mr|Mrs|Ms|Miss|Dr|Prof|Herr|Frau|Monsieur|Madame|Mme|Señor|Señor
 #: Classes within which characters are shifted.
 CLASSES = ["0123456789", "aeiou", "bcdfghjklmnpqrstvwxyz", "AEIOU", "BCDFGHJKLMNPQRSTVWXYZ", "áàâäéèêëíìîïóòôöúùûü", "ÁÀÂÄÉÈÊËÍÌÎÏÓÒÔÖÚÙÛÜ", "аеиоуыэюя", "бвгджзйклмнпрстфхцчшщ", "АЕИОУЭЮЯ", "БВГДЖЗЙКЛМНПРСТФХЦЧШЩ", "αεηιουω", "βγδζθκλμνξπρστφχψ"]
 HEX = "0123456789abcdef"
+
+
+def _other_letters(most: int = 1000) -> list[str]:
+    """Classes of the letters outside ``CLASSES`` by script and case; scripts of ``most`` letters and more (Han, Hangul, Yi) are left out."""
+    known, found = set("".join(CLASSES)), defaultdict(list)
+    for c in map(chr, range(0x80, 0x10000)):
+        kind = unicodedata.category(c)
+        if kind[0] == "L" and c not in known:
+            found[unicodedata.name(c, "").split(" ")[0].split("-")[0], kind].append(c)
+    single = defaultdict(list)
+    for (_, kind), letters in found.items():
+        if len(letters) == 1:
+            single[kind] += letters
+    return ["".join(x) for x in [*found.values(), *single.values()] if 1 < len(x) < most]
+
+
+#: Classes that only characters beyond ASCII are looked up in.
+OTHER = _other_letters()
+#: Further keys tried for an entity whose surrogate is taken before the surrogate is made longer.
+KEYS = 4
 #: Passes of the cipher: forwards, backwards, forwards.
 PASSES = 3
 
@@ -57,17 +80,18 @@ def kind_of(entity: str) -> str:
     return "CASE " + " ".join(f"WHEN {entity} RLIKE {_quote(p)} THEN '{k}'" for k, p in tests.items()) + " ELSE 'name' END"
 
 
-def _pass(chars: str, classes: list[str], key: str) -> str:
+def _pass(chars: str, classes: list[str], key: str, other: list[str]) -> str:
     """SQL: the characters in the array ``chars``, each shifted within its class by a keyed hash of those already written."""
     shift = "pmod(xxhash64({key}, s.h, s.n), {n})"
-    cases = " ".join(f"WHEN locate(c, {_quote(k)}) > 0 THEN substr({_quote(k)}, cast(pmod(locate(c, {_quote(k)}) - 1 + {shift.format(key=_quote(key), n=len(k))}, {len(k)}) as int) + 1, 1)" for k in classes)
+    when = lambda ks: " ".join(f"WHEN locate(c, {_quote(k)}) > 0 THEN substr({_quote(k)}, cast(pmod(locate(c, {_quote(k)}) - 1 + {shift.format(key=_quote(key), n=len(k))}, {len(k)}) as int) + 1, 1)" for k in ks)
+    cases = when(classes) + (f" WHEN ascii(c) > 127 THEN CASE {when(other)} ELSE c END" if other else "")
     step = f"(s, c) -> transform(array(CASE {cases} ELSE c END), d -> named_struct('out', concat(s.out, d), 'h', xxhash64(s.h, d), 'n', s.n + 1))[0]"
     return f"aggregate({chars}, named_struct('out', '', 'h', 0L, 'n', 0), {step}, s -> s.out)"
 
 
-def _cipher(text: str, classes: list[str], key: str) -> str:
+def _cipher(text: str, classes: list[str], key: str, other: list[str] = []) -> str:  # noqa: B006
     for p in range(PASSES):
-        text = _pass(f"split({text}, '')", classes, f"{key}/{p}")
+        text = _pass(f"split({text}, '')", classes, f"{key}/{p}", other)
         if p + 1 < PASSES:
             text = f"reverse({text})"
     return f"reverse({text})" if (PASSES - 1) % 2 else text
@@ -76,7 +100,7 @@ def _cipher(text: str, classes: list[str], key: str) -> str:
 def surrogate(entity: str, key: str) -> str:
     """SQL for the surrogate of the entity in the SQL expression ``entity``: one step of the permutation."""
     e = "e"
-    kept_end = f"concat(regexp_extract({e}, {_quote(TITLE)}, 0), {_cipher(f'substr({e}, length(regexp_extract({e}, {_quote(TITLE)}, 0)) + 1, length({e}) - length(regexp_extract({e}, {_quote(TITLE)}, 0)) - 1)', CLASSES, key + '/name')}, right({e}, 1))"
+    kept_end = f"concat(regexp_extract({e}, {_quote(TITLE)}, 0), {_cipher(f'substr({e}, length(regexp_extract({e}, {_quote(TITLE)}, 0)) + 1, length({e}) - length(regexp_extract({e}, {_quote(TITLE)}, 0)) - 1)', CLASSES, key + '/name', OTHER)}, right({e}, 1))"
     email = f"concat({_cipher(f'substring_index({e}, {_quote('@')}, 1)', CLASSES, key + '/email')}, '@', {_cipher(f'regexp_extract({e}, {_quote('@(.*)[.]')}, 1)', CLASSES, key + '/host')}, '.', substring_index({e}, '.', -1))"
     country = f"concat(regexp_extract({e}, {_quote('^[+][0-9]{1,3}(?=[ .(-])')}, 0), {_cipher(f'substr({e}, length(regexp_extract({e}, {_quote('^[+][0-9]{1,3}(?=[ .(-])')}, 0)) + 1)', CLASSES, key + '/phone')})"
     octets = f"array_join(transform(split({e}, '[.]'), (o, k) -> cast(pmod(cast(o as bigint) + xxhash64({_quote(key)}, k, array_join(transform(split({e}, '[.]'), (x, j) -> CASE WHEN j < k THEN x ELSE '' END), '.')), 256L) as string)), '.')"
@@ -97,18 +121,32 @@ def entities(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     return found.select("entity", F.expr(kind_of("entity")).alias("kind"), F.expr(surrogate("entity", key)).alias("surrogate"))
 
 
-def collisions(table: DataFrame, key: str, rounds: int = 20) -> DataFrame:
-    """(entity, surrogate) for entities whose plain surrogate is itself an entity of the corpus, walked on until it is none."""
-    known = table.select(F.col("entity").alias("surrogate"))
-    open_ = cut(table.join(known, "surrogate", "left_semi").select("entity", "surrogate"))
-    done = open_.limit(0)
-    for _ in range(rounds):
-        if open_.isEmpty():
-            return done
-        walked = cut(open_.select("entity", F.expr(surrogate("surrogate", key)).alias("surrogate")))
-        done = done.unionByName(walked.join(known, "surrogate", "left_anti"))
-        open_ = walked.join(known, "surrogate", "left_semi").select("entity", "surrogate")
-    raise RuntimeError("surrogates keep meeting entities of the corpus")
+def longer(text: str, times: int) -> str:
+    """SQL for the surrogate in the SQL expression ``text`` made longer, so that equal results come from equal surrogates only."""
+    name, email, digits = (_quote(x * times) for x in ("na", "na", "0"))
+    return f"CASE {kind_of(text)} WHEN 'name' THEN concat(substr({text}, 1, length({text}) - 1), {name}, right({text}, 1)) WHEN 'email' THEN concat({email}, {text}) ELSE concat({text}, {digits}) END"
+
+
+def collisions(table: DataFrame, key: str) -> DataFrame:
+    """(entity, surrogate) for entities whose plain surrogate is itself an entity of the corpus.
+
+    In each round all that are left get a candidate, one-to-one; it counts if it is neither an entity
+    nor a surrogate. The candidates outgrow all entities and surrogates in the end, so none is left.
+    """
+    taken = table.select(F.explode(F.array("entity", "surrogate")).alias("surrogate"))
+    open_ = cut(table.join(table.select(F.col("entity").alias("surrogate")), "surrogate", "left_semi").select("entity"))
+    done, times = table.select("entity", "surrogate").limit(0), 0
+    while not open_.isEmpty():
+        times += 1
+        new = surrogate("entity", f"{key}/{min(times, KEYS)}")
+        tried = open_.select("entity", F.expr(new).alias("surrogate"))
+        if times > KEYS:
+            tried = tried.select("entity", F.expr(longer("surrogate", 1 << (times - KEYS - 1))).alias("surrogate"))
+        tried = cut(tried)
+        fits = cut(tried.join(taken, "surrogate", "left_anti").select("entity", "surrogate"))
+        done, taken = done.unionByName(fits), taken.unionByName(fits.select("surrogate"))
+        open_ = cut(tried.join(fits, "entity", "left_anti").select("entity"))
+    return done
 
 
 def replace(docs: DataFrame, key: str, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

@@ -266,6 +266,16 @@ def test_surrogate_collisions(spark):
     assert len(set(final)) == len(final) and not set(final) & set(ips)
 
 
+def test_surrogates_of_closed_cycles(spark):
+    names = ["Mr Ōe", "Frau Øy", "Mr Արմեն", "Mr Ed", *(f"Dr {c}x" for c in "AEIOU"), *(f"Dr {c}y" for c in "BCDFGHJKLMNPQRSTVWXYZ"), "a@a.de"]
+    table = surrogates.entities(spark.createDataFrame([(" , ".join(names),)], "text string"), "k").collect()
+    assert {r["entity"] for r in table} == set(names)
+    done = {r["entity"]: r["surrogate"] for r in surrogates.collisions(spark.createDataFrame(table), "k").collect()}
+    final = [done.get(r["entity"], r["surrogate"]) for r in table]
+    assert len(set(final)) == len(final) and not set(final) & set(names)
+    assert "Արմե" not in " ".join(final)
+
+
 def test_cover_tree(spark):
     random = np.random.default_rng(4)
     v = random.normal(size=(300, 8))
