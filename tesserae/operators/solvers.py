@@ -84,27 +84,28 @@ def greedy_additive(n: int, u: np.ndarray, v: np.ndarray, w: np.ndarray, stop: f
     return f.labels()
 
 
-def _exchange(members: list[int], near: list[list[tuple[int, float]]], lab: list[int], a: int, b: int) -> bool:
-    """One pass over two clusters: nodes change sides one by one, best gain first; the best prefix of the moves stays."""
+def _exchange(members: list[int], near: list[list[tuple[int, float]]], lab: list[int], a: int, b: int) -> list[int]:
+    """One pass over two clusters: nodes change sides one by one, best gain first; the best prefix of the moves stays and is returned."""
     inside, total, best, keep, moves = set(members), 0.0, 1e-9, 0, []
     gain = {i: sum((x if lab[j] != lab[i] else -x) for j, x in near[i] if j in inside) for i in members}
+    heap = [(-x, i) for i, x in gain.items()]
+    heapq.heapify(heap)
     while gain:
-        i = max(gain, key=lambda k: (gain[k], -k))
+        x, i = heapq.heappop(heap)
+        if gain.get(i) != -x:
+            continue
         total += gain.pop(i)
         old, lab[i] = lab[i], b if lab[i] == a else a
         moves.append((i, old))
         for j, x in near[i]:
             if j in gain:
                 gain[j] += -2 * x if lab[j] == lab[i] else 2 * x
+                heapq.heappush(heap, (-gain[j], j))
         if total > best:
             best, keep = total, len(moves)
     for i, old in moves[keep:]:
         lab[i] = old
-    return keep > 0
-
-
-#: Pairs of clusters with more nodes than this are not searched by sequences of moves.
-EXCHANGE = 32
+    return [i for i, _ in moves[:keep]]
 
 
 def kernighan_lin(n: int, u: np.ndarray, v: np.ndarray, w: np.ndarray, labels: np.ndarray | None = None, rounds: int = 20) -> np.ndarray:
@@ -118,15 +119,28 @@ def kernighan_lin(n: int, u: np.ndarray, v: np.ndarray, w: np.ndarray, labels: n
         near[a].append((b, x))
         near[b].append((a, x))
     fresh = max(lab, default=0) + 1
+    settled: set[tuple[int, int]] = set()  # pairs that were searched in vain; they are skipped while both clusters stay the same
     for _ in range(rounds):
         moved = False
-        groups: dict[int, list[int]] = defaultdict(list)
+        groups: dict[int, set[int]] = defaultdict(set)
         for i, c in enumerate(lab):
-            groups[c].append(i)
+            groups[c].add(i)
+        sign: dict[int, int] = {}
         for a, b in [*sorted({(min(lab[x], lab[y]), max(lab[x], lab[y])) for x, y in zip(u.tolist(), v.tolist(), strict=True) if lab[x] != lab[y]}), *((c, -1 - c) for c in sorted(groups))]:
-            members = [i for i in {*groups[a], *groups.get(b, [])} if lab[i] in (a, b)]
-            if 1 < len(members) <= EXCHANGE and _exchange(sorted(members), near, lab, a, b):
-                moved = True
+            for c in (a, b):
+                if c not in sign:
+                    sign[c] = hash(tuple(sorted(groups[c])))
+            if len(groups[a]) + len(groups[b]) < 2 or (sign[a], sign[b]) in settled:
+                continue
+            shifted = _exchange(sorted(groups[a] | groups[b]), near, lab, a, b)
+            if not shifted:
+                settled.add((sign[a], sign[b]))
+                continue
+            moved = True
+            for i in shifted:
+                groups[a if lab[i] == b else b].discard(i)
+                groups[lab[i]].add(i)
+            sign.pop(a), sign.pop(b)
         fresh = max(lab, default=0) + 1
         lab = [c if c >= 0 else fresh - c for c in lab]
         fresh = max(lab, default=0) + 1

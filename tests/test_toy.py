@@ -150,3 +150,12 @@ def test_divide(spark):
     x = spark.createDataFrame([(1.0,), (0.0,), (-1.0,)], "v double")
     got = [r["v"] for r in el.apply_operation(x, 0.0, "divide").collect()]
     assert got[0] == math.inf and math.isnan(got[1]) and got[2] == -math.inf
+
+
+@pytest.mark.parametrize(("seed", "energy"), [(1, -168.8689), (5, -147.3824)])
+def test_kernighan_lin_searches_large_clusters(seed, energy):
+    random, grid = np.random.default_rng(seed), np.arange(576).reshape(24, 24)
+    u, v = np.concatenate([grid[:, :-1].ravel(), grid[:-1].ravel()]), np.concatenate([grid[:, 1:].ravel(), grid[1:].ravel()])
+    w = random.normal(0.5, 1, len(u))
+    x = so.kernighan_lin(576, u, v, w)
+    assert w[x[u] != x[v]].sum() < energy + 1e-3
