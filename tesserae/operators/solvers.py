@@ -268,9 +268,13 @@ def get_solver(name: str) -> Callable:
     return SOLVERS[name]
 
 
-def per_component(edges: DataFrame, kernel: Callable, columns: tuple[str, ...] = ("w",), nodes: DataFrame | None = None, over: DataFrame | None = None) -> DataFrame:
-    """(node, label): the kernel on the edges of each component; labels are the smallest node of each cluster."""
-    group = components(edges.select("u", "v") if over is None else over.select("u", "v"), nodes)
+def per_component(edges: DataFrame, kernel: Callable, columns: tuple[str, ...] = ("w",), nodes: DataFrame | None = None, group: DataFrame | None = None) -> DataFrame:
+    """(node, label): the kernel on the edges of each component; labels are the smallest node of each cluster.
+
+    ``group`` (node, component) is given where the components are known already; edges must lie inside them.
+    """
+    if group is None:
+        group = components(edges.select("u", "v"), nodes)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["u", "v"])
@@ -294,7 +298,7 @@ def multicut(edges: DataFrame, solver: str = "kernighan-lin", nodes: DataFrame |
     group = components(attractive.select("u", "v"), ends if nodes is None else ends.unionByName(nodes.select("node")))
     at = lambda s: group.select(F.col("node").alias(s), F.col("component").alias(f"c{s}"))
     inner = edges.join(at("u"), "u").join(at("v"), "v").where("cu = cv").select("u", "v", "w")
-    return per_component(inner, kernel, nodes=group)
+    return per_component(inner, kernel, group=group)
 
 
 def mws(edges: DataFrame) -> DataFrame:

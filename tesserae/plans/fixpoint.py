@@ -3,39 +3,91 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Sequence
+import uuid
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Edges that one task joins up at most: two arrays of 8 MB.
+ONE_TASK = 1 << 20
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names in ``spark.checkpoint.dir``; a temporary one only where none is named."""
+    sc = spark.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
 
 def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint in the folder the cluster names; a temporary one only where none is named."""
-    spark = df.sparkSession
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint(eager=True)
+    """Write ``df`` as Parquet to the shared folder and read it back.
+
+    Unlike a checkpoint, what is read back has the size of its files as statistics. A checkpointed plan keeps
+    the estimate of the plan it replaces; in a loop with joins that estimate is squared every round.
+    """
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def roots(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(nodes, the smallest node of each one's component) for the edges of one task."""
+    ids, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b, up = at[: len(u)], at[len(u) :], np.arange(len(ids))
+    while True:
+        p, q = up[a], up[b]
+        apart = p != q
+        if not apart.any():
+            return ids, ids[up]
+        a, b, p, q = a[apart], b[apart], p[apart], q[apart]
+        np.minimum.at(up, np.maximum(p, q), np.minimum(p, q))
+        while (up[up] != up).any():
+            up = up[up]
+
+
+def spanned(edges: DataFrame) -> DataFrame:
+    """Edges (u, v), v the smaller one, with the components of ``edges`` but at most one edge per node and partition."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        u, v = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for batch in batches:
+            u, v = roots(np.append(u, batch.column(0).to_numpy()), np.append(v, batch.column(1).to_numpy()))
+            u, v = u[u != v], v[u != v]
+        yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+
+    return edges.select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v")).where("u <> v").mapInArrow(run, "u long, v long")
 
 
-def components(edges: DataFrame, nodes: DataFrame | None = None, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, nodes: DataFrame | None = None, max_rounds: int = 60, one_task: int = ONE_TASK) -> DataFrame:
     """(node, component): the smallest node that is reachable over ``edges`` (u, v); ``nodes`` adds isolated ones.
 
-    Every round points nodes at the smallest label among themselves, their neighbours and their
-    label's own label (pointer jumping), so rounds grow with the logarithm of the longest path.
+    Each partition first leaves a spanning forest of its edges. Up to ``one_task`` edges are then joined up in one
+    task of bounded size. Else every round points nodes at the smallest label among themselves, their neighbours and
+    their label's own label (pointer jumping), so rounds grow with the logarithm of the longest path.
     """
-    pairs = cut(edges.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct())
-    start = pairs.select(F.col("u").alias("node")).unionByName(edges.select(F.col("u").alias("node")))
+    kind = edges.schema["u"].dataType
+    ends = edges.select(F.explode(F.array("u", "v")).alias("node"))
     if nodes is not None:
-        start = start.unionByName(nodes.select("node"))
-    state = cut(start.distinct().withColumn("component", F.col("node")))
+        ends = ends.unionByName(nodes.select(F.col("node").cast(kind)))
+    ends = ends.distinct()
+    pairs = cut(spanned(edges))
+    if pairs.count() <= one_task:
+        found = spanned(pairs.coalesce(1)).withColumnsRenamed({"u": "node", "v": "component"})
+        return ends.join(found, "node", "left").select("node", F.coalesce("component", "node").cast(kind).alias("component"))
+    pairs = cut(pairs.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.*").distinct())
+    state = cut(ends.withColumn("component", F.col("node")))
     total = None
     for _ in range(max_rounds):
         seen = pairs.join(state, pairs.v == state.node).groupBy("u").agg(F.min("component").alias("m"))
         low = state.join(seen, state.node == seen.u, "left").select("node", F.least("component", F.coalesce("m", "component")).alias("component"))
         # Hooking: the old root learns of the smaller label as well, then everyone jumps once.
         hook = state.join(low.withColumnRenamed("component", "c"), "node").groupBy("component").agg(F.min("c").alias("r"))
-        state = cut(low.join(hook.withColumnsRenamed({"component": "k"}), F.col("component") == F.col("k"), "left").select("node", F.least("component", F.coalesce("r", "component")).alias("component")))
+        state = cut(low.join(hook.withColumnsRenamed({"component": "k"}), F.col("component") == F.col("k"), "left").select("node", F.least("component", F.coalesce("r", "component")).cast(kind).alias("component")))
         now = state.agg(F.sum(F.col("component").cast("decimal(38,0)"))).first()[0]
         if now == total:
             return state
