@@ -10,7 +10,7 @@ def test_cut_keeps_the_size_estimate(spark):
     other = cut(state)
     for _ in range(25):
         state = cut(state.join(other.withColumnRenamed("v", "w"), "k").select("k", F.least("v", "w").alias("v")))
-        assert int(state._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()) < 1 << 24
+        assert int(state._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) < 1 << 24
     assert state.count() == 1000
 
 
