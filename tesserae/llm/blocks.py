@@ -81,6 +81,13 @@ def text_blocks(ids: np.ndarray, column: pa.Array, limit: int = 1 << 20) -> Iter
         at = to
 
 
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each position on as one number; zeros follow the end."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray((len(data),), "<u8", padded, strides=(1,)).copy()
+
+
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the words ``[^\\x20\\x09-\\x0D]+`` and, for each row, the index of its first word (one more at the end)."""
     inside = ~SPACE[data]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,16 +17,49 @@ from tesserae.llm.session import cut
 SMALL_RUN = 64
 
 
+def roots(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(nodes, the smallest node of each one's component) for the edges of one task."""
+    ids, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b, up = at[: len(u)], at[len(u) :], np.arange(len(ids))
+    while True:
+        p, q = up[a], up[b]
+        apart = p != q
+        if not apart.any():
+            return ids, ids[up]
+        a, b, p, q = a[apart], b[apart], p[apart], q[apart]
+        np.minimum.at(up, np.maximum(p, q), np.minimum(p, q))
+        while (up[up] != up).any():
+            up = up[up]
+
+
+def spanned(edges: DataFrame, batch: int = 1 << 16) -> DataFrame:
+    """Edges (u, v), v <= u, with the components and nodes of ``edges``; batch by batch a star for each component."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for x in batches:
+            held.append((x.column(0).to_numpy(), x.column(1).to_numpy()))
+            size += x.num_rows
+            if size >= batch:
+                nodes, root = roots(np.concatenate([p for p, _ in held]), np.concatenate([q for _, q in held]))
+                yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(root)], ["u", "v"])
+                held, size = [], 0
+        if size:
+            nodes, root = roots(np.concatenate([p for p, _ in held]), np.concatenate([q for _, q in held]))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(root)], ["u", "v"])
+
+    return edges.mapInArrow(run, "u long, v long")
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """(node, component) for all nodes of ``edges``; the component is its smallest node.
 
-    Alternates large-star and small-star rounds: edges are pointed at the smallest known node until
-    every node points at its component's smallest one. Each round is two aggregations with partial
-    sums and two joins on evenly spread node ids; nothing but two totals reaches the driver.
-    Empty input gives an empty result, self-loops give their own node.
+    Batches of edges become stars where they are read. Then large-star and small-star rounds alternate:
+    edges are pointed at the smallest known node until every node points at its component's smallest one.
+    Each round is two aggregations with partial sums and two joins on evenly spread node ids; nothing but
+    two totals reaches the driver. Empty input gives an empty result, self-loops give their own node.
     """
-    pairs = cut(edges.select(F.greatest(a, b).cast("long").alias("u"), F.least(a, b).cast("long").alias("v")).where("u is not null and v is not null").distinct())
-    nodes = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    pairs = cut(spanned(edges.select(F.greatest(a, b).cast("long").alias("u"), F.least(a, b).cast("long").alias("v")).where("u is not null and v is not null")).distinct())
     state, seen = pairs.where("u <> v"), None
     for _ in range(max_rounds):
         both = state.select("u", "v").unionByName(state.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -41,6 +74,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
         seen = now
     else:
         raise RuntimeError("components did not settle")
+    nodes = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
     return nodes.join(state.select(F.col("u").alias("node"), F.col("v").alias("component")), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,10 +15,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read it back, so that its lineage ends here.
+    """Write ``df`` as Parquet to the shared checkpoint folder and read it back, so that its lineage ends here.
 
     The folder is the one the cluster names in ``spark.checkpoint.dir``; only where none is named
-    (single-machine tests) a temporary one is made.
+    (single-machine tests) a temporary one is made. What is read back has the size of its files as statistics.
     """
     spark = df.sparkSession
     # Shuffle files of lineages cut before are deleted once the driver has collected their garbage.
@@ -26,12 +27,22 @@ def cut(df: DataFrame) -> DataFrame:
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint(eager=True)
+    path = f"{sc._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
-def bucket_count(rows: int, per_bucket: int, least: int = 64, most: int = 1 << 20) -> int:
+def unused(name: str, df: DataFrame) -> str:
+    """``name``, with as many underscores as it takes to differ from all columns of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def bucket_count(rows: int, per_bucket: int, least: int = 64) -> int:
     """Number of exchange buckets: it follows the rows, so that one bucket stays of bounded size."""
-    return int(min(most, max(least, -(-rows // per_bucket))))
+    return int(max(least, -(-rows // per_bucket)))
 
 
 def hashed_semi(df: DataFrame, key: str, ids: DataFrame, id_col: str, bits: int = 20) -> tuple[DataFrame, DataFrame]:
@@ -40,7 +51,8 @@ def hashed_semi(df: DataFrame, key: str, ids: DataFrame, id_col: str, bits: int
     Keys are compared by a ``bits``-bit hash, so what is broadcast has at most 2**bits rows however
     large ``ids`` is; once it is saturated it prunes less but stays right.
     """
+    name = unused("_slot", df)
     slot = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(1 << bits)).cast("int")
-    slots = F.broadcast(ids.select(slot(id_col).alias("_slot")).distinct())
-    tagged = df.withColumn("_slot", slot(key))
-    return tagged.join(slots, "_slot", "left_semi").drop("_slot"), tagged.join(slots, "_slot", "left_anti").drop("_slot")
+    slots = F.broadcast(ids.select(slot(id_col).alias(name)).distinct())
+    tagged = df.withColumn(name, slot(key))
+    return tagged.join(slots, name, "left_semi").drop(name), tagged.join(slots, name, "left_anti").drop(name)
