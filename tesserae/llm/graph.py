@@ -15,6 +15,8 @@ from tesserae.llm.session import cut
 
 #: Runs up to this size are searched for a possible pair before they are passed on.
 SMALL_RUN = 64
+#: Edges that one task joins up at most.
+FEW = 1 << 14
 
 
 def roots(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -51,15 +53,17 @@ def spanned(edges: DataFrame, batch: int = 1 << 16) -> DataFrame:
     return edges.mapInArrow(run, "u long, v long")
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60, few: int = FEW) -> DataFrame:
     """(node, component) for all nodes of ``edges``; the component is its smallest node.
 
-    Batches of edges become stars where they are read. Then large-star and small-star rounds alternate:
-    edges are pointed at the smallest known node until every node points at its component's smallest one.
+    Batches of edges become stars where they are read; what is small then is joined up in one task of at
+    most ``FEW`` edges. Else large-star and small-star rounds alternate: edges are pointed at the smallest known node until every node points at its component's smallest one.
     Each round is two aggregations with partial sums and two joins on evenly spread node ids; nothing but
     two totals reaches the driver. Empty input gives an empty result, self-loops give their own node.
     """
     pairs = cut(spanned(edges.select(F.greatest(a, b).cast("long").alias("u"), F.least(a, b).cast("long").alias("v")).where("u is not null and v is not null")).distinct())
+    if pairs.count() <= few:
+        return spanned(pairs.coalesce(1), few).select(F.col("u").alias("node"), F.col("v").alias("component"))
     state, seen = pairs.where("u <> v"), None
     for _ in range(max_rounds):
         both = state.select("u", "v").unionByName(state.select(F.col("v").alias("u"), F.col("u").alias("v")))

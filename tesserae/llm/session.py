@@ -4,12 +4,18 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Seconds between two collections of the driver's garbage.
+COLLECT_S = 5
+_collected = [0.0]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -21,10 +27,12 @@ def cut(df: DataFrame) -> DataFrame:
     (single-machine tests) a temporary one is made. What is read back has the size of its files as statistics.
     """
     spark = df.sparkSession
-    # Shuffle files of lineages cut before are deleted once the driver has collected their garbage.
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
     sc = spark.sparkContext
+    if time.monotonic() - _collected[0] > COLLECT_S:
+        # Shuffle files of lineages cut before are deleted once the driver has collected their garbage.
+        gc.collect()
+        sc._jvm.System.gc()
+        _collected[0] = time.monotonic()
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
     path = f"{sc._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"

@@ -34,8 +34,9 @@ def empty(docs):
 
 def test_components(spark):
     e = spark.createDataFrame([(i, i + 1) for i in range(30)] + [(100, 101), (101, 100), (7, 7)], "a long, b long")
-    got = {r["node"]: r["component"] for r in components(e).collect()}
-    assert all(got[i] == 0 for i in range(31)) and got[101] == 100
+    for few in (1 << 14, 0):
+        got = {r["node"]: r["component"] for r in components(e, few=few).collect()}
+        assert all(got[i] == 0 for i in range(31)) and got[101] == 100 and len(got) == 33
 
 
 def test_sharding(docs):
@@ -104,8 +105,8 @@ def line_rows(lines):
 def near_lines(lines, similarity=0.9):
     """Pairs of line numbers that share a key and whose loads are close."""
     data, offsets = line_rows(lines)
-    load, held = line_dedup.loads(data, offsets), {}
-    for r, k in zip(*line_dedup.line_keys(data, offsets, similarity), strict=True):
+    load, held = line_dedup.loads(data, offsets[:-1], offsets[1:]), {}
+    for r, k in zip(*line_dedup.line_keys(data, offsets[:-1], offsets[1:], similarity), strict=True):
         held.setdefault(int(k), set()).add(int(r))
     pairs = {(a, b) for rows in held.values() for a in rows for b in rows if a < b}
     return {(a, b) for a, b in pairs if line_dedup.close(load[[a]], load[[b]], similarity)[0]}
