@@ -4,7 +4,7 @@ Where a pre-token begins depends on a small automaton over character classes. Ev
 function from the automaton's states to its states; composing functions is associative, so the state
 before each character comes from a scan over numbered functions (columns of a reshaped array, then the
 row totals the same way), without a regular expression. The slices between boundaries, zero-copy views
-into the text, are encoded once each and remembered; the ids' byte offsets allow decoding any part.
+into the text, are merged by rank once each and remembered; the ids' byte offsets allow decoding any part.
 
 The states encode the pattern `'s|'t|'re|'ve|'m|'ll|'d| ?\\p{L}+| ?\\p{N}+| ?[^\\s\\p{L}\\p{N}]+|\\s+(?!\\S)|\\s+`.
 
@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import unicodedata
+import heapq
 from collections.abc import Iterator
 from functools import cache
 
@@ -24,22 +24,33 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tesserae.llm.blocks import ranges, text_blocks
+from tesserae.llm.blocks import flat, groups, ranges, text_blocks
+from tesserae.llm.slices import Index, Slices
 
 CONT, SP, WS, LETTER, NUMBER, OTHER, APOS, ONE, TWO = range(9)
 START, SPACE_, IN_L, IN_N, IN_O, QUOTE, HALF, DONE = range(8)
-#: White space of the Unicode property.
-BLANKS = [0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, *range(0x09, 0x0E)]
-#: Slices a worker remembers at most.
-CACHE = 1 << 20
+#: Slices, and bytes of slices, that a worker remembers at most.
+CACHE, CACHE_BYTES = 1 << 20, 1 << 25
+#: Slices of more bytes are merged one by one.
+LONG = 64
+#: No pair has this rank.
+NONE = np.int64(1 << 40)
 
 
 @cache
 def class_table() -> np.ndarray:
-    """Class of every code point."""
-    by_major = {"L": LETTER, "N": NUMBER}
-    table = np.fromiter((by_major.get(unicodedata.category(chr(c))[0], OTHER) for c in range(0x110000)), np.uint8, 0x110000)
-    table[BLANKS], table[0x20], table[0x27] = WS, SP, APOS
+    """Class of every code point, as the library's own Unicode tables have it.
+
+    An encoding with one token per byte and a class for its pattern returns the characters of that class.
+    """
+    import tiktoken
+
+    every = "".join(map(chr, (*range(0xD800), *range(0xE000, 0x110000))))
+    table = np.full(0x110000, OTHER, np.uint8)
+    for kind, pattern in ((LETTER, r"\p{L}"), (NUMBER, r"\p{N}"), (WS, r"\s")):
+        found = tiktoken.Encoding(f"class {kind}", pat_str=pattern, mergeable_ranks={bytes([b]): b for b in range(256)}, special_tokens={})
+        table[np.frombuffer(bytes(found.encode_ordinary(every)).decode().encode("utf-32-le"), "<u4")] = kind
+    table[0x20], table[0x27] = SP, APOS
     return table
 
 
@@ -160,16 +171,85 @@ def boundaries(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.flatnonzero(begins)
 
 
+class Merger:
+    """Merges the bytes of slices by rank: of all neighbours whose joint bytes are a token, those of least rank first, from the left."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.ranks = ranks
+        self.of_byte = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+        # Every way to cut a token in two tokens is a pair that merges.
+        pairs = {(ranks[t[:i]] << 20) | ranks[t[i:]]: r for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks}
+        self.pairs, self.index = pairs, Index()
+        self.index.put(np.fromiter(pairs, np.uint64, len(pairs)), np.fromiter(pairs.values(), np.int64, len(pairs)))
+
+    def pair_ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        found = self.index.get(((left << 20) | right).view(np.uint64))
+        return np.where(found < 0, NONE, found)
+
+    def one(self, text: bytes) -> list[int]:
+        """A single slice, with a heap of pairs and links to the neighbours."""
+        ids = self.of_byte[np.frombuffer(text, np.uint8)].tolist()
+        n = len(ids)
+        after, before, heap = list(range(1, n + 1)), list(range(-1, n - 1)), []
+
+        def push(i: int) -> None:
+            if i >= 0 and after[i] < n and (r := self.pairs.get((ids[i] << 20) | ids[after[i]])) is not None:
+                heapq.heappush(heap, (r, i, ids[i], ids[after[i]]))
+
+        for i in range(n - 1):
+            push(i)
+        while heap:
+            r, i, a, b = heapq.heappop(heap)
+            j = after[i]
+            if ids[i] != a or j >= n or ids[j] != b:
+                continue
+            ids[i], ids[j], after[i] = r, -1, after[j]
+            if after[i] < n:
+                before[after[i]] = i
+            push(before[i])
+            push(i)
+        return [x for x in ids if x >= 0]
+
+    def many(self, slices: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all slices one after the other, number of ids of each) for slices of a byte or more; one merge in each slice per round."""
+        lengths = np.fromiter(map(len, slices), np.int64, len(slices))
+        token = self.of_byte[np.frombuffer(b"".join(slices), np.uint8)]
+        owner = np.repeat(np.arange(len(slices)), lengths)
+        rank = np.full(len(token), NONE)
+        inner = np.flatnonzero(owner[:-1] == owner[1:])
+        rank[inner] = self.pair_ranks(token[inner], token[inner + 1])
+        done: list[tuple[np.ndarray, np.ndarray]] = []
+        while len(token):
+            starts, ends = groups(owner)
+            least = np.minimum.reduceat(rank, starts)
+            open_ = least < NONE
+            if open_.sum() < 0.7 * len(starts):  # what is finished is put aside
+                stay = np.repeat(open_, ends - starts)
+                done.append((owner[~stay], token[~stay]))
+                token, owner, rank = token[stay], owner[stay], rank[stay]
+                continue
+            hit = np.flatnonzero((rank == np.repeat(least, ends - starts)) & (rank < NONE))
+            hit = hit[np.append(True, owner[hit[1:]] != owner[hit[:-1]])]  # the leftmost of each slice
+            token[hit] = rank[hit]
+            keep = np.ones(len(token), bool)
+            keep[hit + 1] = False
+            at = hit - np.arange(len(hit))  # where the merged tokens stand once their right halves are gone
+            token, owner, rank = token[keep], owner[keep], rank[keep]
+            for i in (at, at[at > 0] - 1):
+                inside = (i + 1 < len(token)) & (owner[i] == owner[np.minimum(i + 1, len(token) - 1)])
+                rank[i] = NONE
+                rank[i[inside]] = self.pair_ranks(token[i[inside]], token[i[inside] + 1])
+        owner, token = (np.concatenate(x) for x in zip(*done, strict=True)) if done else (owner, token)
+        return token[np.argsort(owner, kind="stable")], np.bincount(owner, minlength=len(slices))
+
+
 class Codec:
     """Encoder and decoder for one rank file; slices once encoded are remembered."""
 
     def __init__(self, path: str):
-        import tiktoken
-
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        # Slices are merged one by one, so the library's own split is switched off.
-        self.merge = tiktoken.Encoding("slices", pat_str=r"(?s).+", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.merger = Merger(ranks)
         top = max(ranks.values()) + 1
         parts = [b""] * top
         for token, rank in ranks.items():
@@ -179,35 +259,46 @@ class Codec:
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[bytes, int] = {}
+        self.known = Slices()
         self.table, self.begin, self.used = np.zeros(1 << 16, np.uint32), np.zeros(1, np.int64), 0
 
     def learn(self, new: list[bytes]) -> None:
-        merge, known, lengths, ids = self.merge, self.known, [], []
-        for w in new:
-            known[w] = len(known)
-            found = merge(w.decode("utf-8"))
-            lengths.append(len(found))
-            ids += found
-        while self.used + len(ids) > len(self.table):
+        # A slice that is a token stays whole, long ones are merged one by one, all others together.
+        whole = [self.merger.ranks.get(w) for w in new]
+        rest = [k for k, (w, r) in enumerate(zip(new, whole, strict=True)) if r is None and len(w) <= LONG]
+        ids, sizes = self.merger.many([new[k] for k in rest]) if rest else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        long = {k: self.merger.one(w) for k, (w, r) in enumerate(zip(new, whole, strict=True)) if r is None and len(w) > LONG}
+        count = np.ones(len(new), np.int64)
+        count[rest] = sizes
+        count[list(long)] = [len(x) for x in long.values()]
+        begin = self.used + np.cumsum(count) - count
+        total = int(count.sum())
+        while self.used + total > len(self.table):
             self.table = np.append(self.table, np.zeros(len(self.table), np.uint32))
-        self.table[self.used : self.used + len(ids)] = ids
-        self.begin = np.append(self.begin, self.used + np.cumsum(lengths))
-        self.used += len(ids)
+        single = np.array([k for k, r in enumerate(whole) if r is not None], np.int64)
+        self.table[begin[single]] = [r for r in whole if r is not None]
+        if rest:
+            self.table[ranges(begin[rest], sizes)] = ids
+        for k, x in long.items():
+            self.table[begin[k] : begin[k] + len(x)] = x
+        self.begin = np.append(self.begin, begin + count)
+        self.used += total
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids of all rows, offsets of the rows in them, byte at which each id begins) for UTF-8 rows."""
         starts = boundaries(data, offsets)
         at = np.append(starts, len(data)).astype(np.int32)
         column = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
-        unique = column.dictionary.to_pylist()
-        new = [w for w in unique if w not in self.known]
-        if len(self.known) + len(new) > CACHE:
+        part, edges = flat(column.dictionary)
+        code, h = self.known.find(part, edges[:-1], edges[1:])
+        new = np.flatnonzero(code < 0)
+        if self.known.count + len(new) > CACHE or self.known.used + int((edges[new + 1] - edges[new]).sum()) > CACHE_BYTES:
             self.forget()
-            new = unique
-        if new:
-            self.learn(new)
-        code = np.fromiter(map(self.known.__getitem__, unique), np.int64, len(unique))[column.indices.to_numpy()]
+            new = np.arange(len(code))
+        if len(new):
+            self.learn([x.as_py() for x in column.dictionary.take(pa.array(new))])
+            code[new] = self.known.add(part, edges[new], edges[new + 1], h[new])
+        code = code[column.indices.to_numpy()]
         sizes = self.begin[code + 1] - self.begin[code]
         ids = self.table[ranges(self.begin[code], sizes)]
         total = np.append(0, np.cumsum(sizes))

@@ -231,6 +231,44 @@ def test_byte_bpe(docs):
     assert all(back[i] == (t or "") for i, t in TEXTS)
 
 
+def reference_encoding():
+    import base64
+
+    import tiktoken
+
+    with open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def encoded_texts(texts):
+    import pyarrow as pa
+
+    from tesserae.llm.blocks import flat
+
+    ids, at, _ = byte_bpe.Codec(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")).encode(*flat(pa.array(texts)))
+    return [ids[i:j].tolist() for i, j in zip(at[:-1], at[1:], strict=True)]
+
+
+def test_byte_bpe_of_every_code_point():
+    enc = reference_encoding()
+    points = [*map(chr, (*range(0xD800), *range(0xE000, 0x110000)))]
+    texts = ["".join(f"{c}'s a{c}1 {c}" for c in points[i : i + 64]) for i in range(0, len(points), 64)] + ["\u1c8a's fine", "x\ua7df're ok"]
+    for text, got in zip(texts, encoded_texts(texts), strict=True):
+        assert got == enc.encode_ordinary(text)
+
+
+def test_byte_bpe_merges():
+    import random
+
+    random.seed(6)
+    texts = ["".join(random.choices("abcdefghijklmnopqrstuvwxyz", k=random.randint(1, 90))) for _ in range(3000)] + ["".join(random.choices("aeéß漢字\u0437🎉 '", k=random.randint(0, 40))) for _ in range(3000)]
+    texts += ["a" * 5000, " " * 3000 + "x", "ab" * 4000, "", "!" * 999, "\n" * 70 + "é" * 80]
+    enc = reference_encoding()
+    for text, got in zip(texts, encoded_texts(texts), strict=True):
+        assert got == enc.encode_ordinary(text)
+
+
 def test_boundaries_fuzz():
     import random
 
