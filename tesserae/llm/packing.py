@@ -1,15 +1,16 @@
 """Packing of token sequences into windows by Karmarkar-Karp multiway differencing.
 
 Documents are tokenised where they are read. A document longer than a window fills whole windows
-first; what is left of it and all shorter documents are partitioned, block by block, into as many
-windows as their tokens need at least: partial partitions with opposing imbalances are merged,
-largest imbalance first, until one near-equal partition remains. When a window would exceed the
-capacity, the number of windows rises (by up to ``SLACK`` of them); what then still exceeds it is
-cut off and moved to the windows with the most room.
+first; what is left of it and all shorter documents are cut into parts of at most ``PARTS[0]`` ids and
+partitioned, block by block, into as many windows as their ids need at least: partial partitions with
+opposing imbalances are merged, largest imbalance first, until one near-equal partition remains. While a
+window exceeds the capacity, the number of windows rises. Where sizes are such that it rises by more
+than ``ENOUGH`` of the windows, shorter parts are tried as well, and the fewest windows count. A block
+ends with as many ids as its windows hold; the document there is cut and goes on in the next block.
 
 Defined cases: a null or empty text is a document of its end id alone; repeated rows are packed each
 on its own; ties are broken by position; an empty table gives an empty result; further columns are
-ignored. A block is bounded by ``BLOCK_PIECES`` and ``BLOCK_TOKENS``, a very long document by itself.
+ignored. A block holds ``BLOCK`` windows of such parts, or a single very long document and those before it.
 """
 
 from __future__ import annotations
@@ -26,13 +27,19 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from tesserae.llm.blocks import ranges, text_blocks, words
+from tesserae.llm.blocks import flat, ranges, text_blocks, words
+from tesserae.llm.slices import Slices
 
 WINDOW, END_ID = 2048, 1
-BLOCK_PIECES, BLOCK_TOKENS, SLACK = 1024, 1 << 20, 0.01
+#: Windows of a block; ids of a part, at first and where that leaves too much padding; share of windows that may be added without further tries.
+BLOCK, PARTS, ENOUGH = 128, (512, 256, 128, 64), 0.015
+#: Share of a block's windows that its ids fill at most, so that they need not be exactly equal.
+FILL = 0.993
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-#: Words whose ids a worker remembers at most.
-CACHE = 1 << 20
+#: Words whose ids a worker remembers at most, and bytes of them.
+CACHE, CACHE_BYTES = 1 << 20, 1 << 25
+#: Words that are encoded as one text.
+TOGETHER = 256
 
 
 def differencing(sizes: np.ndarray, k: int) -> list[list[int]]:
@@ -72,49 +79,38 @@ def differencing(sizes: np.ndarray, k: int) -> list[list[int]]:
     return out
 
 
-def pack(sizes: np.ndarray, window: int = WINDOW, slack: float = SLACK) -> list[list[tuple[int, int, int]]]:
+def levelled(sizes: np.ndarray, window: int, most: int | None = None) -> list[list[int]] | None:
+    """Indices of ``sizes`` (none above ``window``) in near-equal windows; their number rises until none exceeds the capacity, or gives up above ``most``."""
+    k, tries = -(-int(sizes.sum()) // window), 0
+    while most is None or k <= most:
+        parts = differencing(sizes, k)
+        if max(int(sizes[p].sum()) for p in parts if p) <= window:
+            return [p for p in parts if p]
+        tries += 1
+        k += 1 if tries < 8 else max(1, k // 32)
+    return None
+
+
+def pack(sizes: np.ndarray, window: int = WINDOW, parts: tuple[int, ...] = PARTS) -> list[list[tuple[int, int, int]]]:
     """Windows of (index, start, length) pieces; a size above ``window`` fills whole windows first."""
     full = [[(i, s, window)] for i, n in enumerate(sizes.tolist()) for s in range(0, n - window + 1, window)]
     rest = sizes % window
     items = np.flatnonzero(rest)
     if not len(items):
         return full
-    left = rest[items]
-    least = -(-int(left.sum()) // window)
-    k, most = least, least + int(least * slack)
-    while True:
-        parts = differencing(left, k)
-        if k >= most or max(int(left[p].sum()) for p in parts if p) <= window:
+    least, best = -(-int(rest.sum()) // window), None
+    for part in parts:
+        count = -(-rest[items] // min(part, window))
+        own, nth = np.repeat(items, count), ranges(np.zeros(len(items), np.int64), count)
+        each, more = np.repeat(rest[items] // count, count), np.repeat(rest[items] % count, count)
+        length = each + (nth < more)
+        start = (sizes - rest)[own] + nth * each + np.minimum(nth, more)
+        found = levelled(length, window, len(best) - 1 if best is not None else None)
+        if found is not None:
+            best = [[(int(own[j]), int(start[j]), int(length[j])) for j in w] for w in found]
+        if best is not None and len(best) <= least + max(1, int(least * ENOUGH)):
             break
-        k += max(1, (most - least) // 3)
-    windows: list[list[tuple[int, int, int]]] = []
-    over: list[tuple[int, int, int]] = []
-    for p in parts:
-        room, held = window, []
-        for j in sorted(p, key=lambda j: (-int(left[j]), j)):
-            i, n = int(items[j]), int(left[j])
-            start, take = int(sizes[i]) - n, min(n, room)
-            if take:
-                held.append((i, start, take))
-            if take < n:
-                over.append((i, start + take, n - take))
-            room -= take
-        windows.append(held)
-    if over:
-        free = [[window - sum(x[2] for x in w), j] for j, w in enumerate(windows)]
-        free = sorted((x for x in free if x[0]), key=lambda x: (-x[0], x[1]))
-        for i, start, n in sorted(over, key=lambda x: (-x[2], x[0])):
-            while n:
-                if not free:
-                    windows.append([])
-                    free = [[window, len(windows) - 1]]
-                take = min(n, free[0][0])
-                windows[free[0][1]].append((i, start, take))
-                start, n = start + take, n - take
-                free[0][0] -= take
-                if not free[0][0]:
-                    free.pop(0)
-    return full + [w for w in windows if w]
+    return full + best
 
 
 class WordEncoder:
@@ -124,20 +120,44 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.closes[[k for token, k in vocabulary.items() if token.endswith("</w>")]] = True
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[bytes, int] = {}
+        self.known = Slices()
         self.table, self.begin, self.used = np.zeros(1 << 16, np.uint32), np.zeros(1, np.int64), 0
 
+    def encoded(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def ids_of(self, new: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words one after the other, number of ids of each).
+
+        Words of ASCII letters are one piece each, which a token that ends a word closes; so many of them are
+        encoded as one text and told apart by those tokens. All others are encoded one by one.
+        """
+        plain = [k for k, w in enumerate(new) if w.isalpha()]
+        other = [k for k, w in enumerate(new) if not w.isalpha()]
+        joined = self.encoded([b" ".join(new[k] for k in plain[i : i + TOGETHER]).decode() for i in range(0, len(plain), TOGETHER)])
+        flat_ids = np.fromiter(itertools.chain.from_iterable(joined), np.int64, sum(map(len, joined)))
+        ends = np.flatnonzero(self.closes[flat_ids]) if len(flat_ids) else np.zeros(0, np.int64)
+        if len(ends) != len(plain):
+            plain, other, flat_ids, ends = [], list(range(len(new))), flat_ids[:0], ends[:0]
+        rest = self.encoded([new[k].decode("utf-8", "replace") for k in other])
+        sizes = np.zeros(len(new), np.int64)
+        sizes[plain], sizes[other] = np.diff(ends, prepend=-1), [len(x) for x in rest]
+        begin, ids = np.cumsum(sizes) - sizes, np.empty(int(sizes.sum()), np.uint32)
+        ids[ranges(begin[plain], sizes[plain])] = flat_ids
+        ids[ranges(begin[other], sizes[other])] = np.fromiter(itertools.chain.from_iterable(rest), np.uint32, sum(map(len, rest)))
+        return ids, sizes
+
     def learn(self, new: list[bytes]) -> None:
-        found = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)]
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        ids = np.fromiter(itertools.chain.from_iterable(found), np.uint32, int(sizes.sum()))
+        ids, sizes = self.ids_of(new)
         while self.used + len(ids) > len(self.table):
             self.table = np.append(self.table, np.zeros(len(self.table), np.uint32))
         self.table[self.used : self.used + len(ids)] = ids
-        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
         self.begin = np.append(self.begin, self.used + np.cumsum(sizes))
         self.used += len(ids)
 
@@ -149,14 +169,16 @@ class WordEncoder:
         at = np.zeros(len(starts) + 1, np.int32)
         np.cumsum(lengths, out=at[1:])
         column = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(at), pa.py_buffer(packed)]).dictionary_encode()
-        unique = column.dictionary.to_pylist()
-        new = [w for w in unique if w not in self.known]
-        if len(self.known) + len(new) > CACHE:
+        part, edges = flat(column.dictionary)
+        code, h = self.known.find(part, edges[:-1], edges[1:])
+        new = np.flatnonzero(code < 0)
+        if self.known.count + len(new) > CACHE or self.known.used + int((edges[new + 1] - edges[new]).sum()) > CACHE_BYTES:
             self.forget()
-            new = unique
-        if new:
-            self.learn(new)
-        code = np.fromiter(map(self.known.__getitem__, unique), np.int64, len(unique))[column.indices.to_numpy()]
+            new = np.arange(len(code))
+        if len(new):
+            self.learn([x.as_py() for x in column.dictionary.take(pa.array(new))])
+            code[new] = self.known.add(part, edges[new], edges[new + 1], h[new])
+        code = code[column.indices.to_numpy()]
         sizes = self.begin[code + 1] - self.begin[code]
         return self.table[ranges(self.begin[code], sizes)], np.append(0, np.cumsum(sizes))[first]
 
@@ -177,36 +199,46 @@ def windows(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         encode, sequence = encoder(path), (TaskContext.get().partitionId() << 36)
-        held: list[tuple[int, np.ndarray]] = []
-        tokens = 0
+        held: list[tuple[int, int, np.ndarray, int]] = []  # id, ids before, ids, ids of the whole document
+        short = whole = 0  # ids that are left beside full windows, and all ids
 
         def out() -> pa.RecordBatch:
-            nonlocal sequence, tokens
-            rows: list[tuple] = []
-            sizes = np.array([len(ids) for _, ids in held], np.int64)
-            for w in pack(sizes, window):
-                offset = 0
-                for i, start, n in w:
-                    name, ids = held[i]
-                    part = ids[start : start + n].astype("<u4").tobytes()
-                    rows.append((name, start, n, zlib.crc32(part), len(ids), sequence, offset) + ((part,) if with_ids else ()))
-                    offset += n
-                sequence += 1
+            nonlocal sequence
+            sizes = np.array([len(x[2]) for x in held], np.int64)
+            ids = np.concatenate([x[2] for x in held]).astype("<u4")
+            raw, begin = memoryview(ids.tobytes()), np.cumsum(sizes) - sizes
+            found = pack(sizes, window)
+            which, start, length = (np.array([p[c] for w in found for p in w], np.int64) for c in range(3))
+            per = np.array([len(w) for w in found], np.int64)
+            before = np.cumsum(length) - length
+            first = np.cumsum(per) - per
+            at = ((begin[which] + start) * 4).tolist()
+            blobs = [raw[i : i + 4 * n] for i, n in zip(at, length.tolist(), strict=True)]
+            names, base, total = (np.array([x[c] for x in held], np.int64) for c in (0, 1, 3))
+            crc = np.array([zlib.crc32(x) for x in blobs], np.int64)
+            columns = [names[which], base[which] + start, length, crc, total[which], sequence + np.repeat(np.arange(len(per)), per), before - np.repeat(before[first], per)]
+            sequence += len(found)
             held.clear()
-            tokens = 0
-            columns = list(zip(*rows, strict=True))
-            names = [x.split()[0] for x in SCHEMA.split(", ")]
-            arrays = [pa.array(c, pa.int64()) for c in columns[:7]] + ([pa.array(columns[7], pa.binary())] if with_ids else [])
-            return pa.RecordBatch.from_arrays(arrays, names + (["ids"] if with_ids else []))
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns] + ([pa.array([bytes(x) for x in blobs], pa.binary())] if with_ids else []), [x.split()[0] for x in SCHEMA.split(", ")] + (["ids"] if with_ids else []))
 
         for batch in batches:
             for names, data, offsets in text_blocks(batch.column(0).to_numpy(zero_copy_only=False), batch.column(1), 4 << 20):
                 ids, at = encode(data, offsets)
                 for name, i, j in zip(names.tolist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
-                    held.append((name, np.append(ids[i:j], np.uint32(end_id))))
-                    tokens += j - i + 1
-                    if len(held) >= BLOCK_PIECES or tokens >= BLOCK_TOKENS:
-                        yield out()
+                    own, total = np.append(ids[i:j], np.uint32(end_id)), j - i + 1
+                    over = short + total % window - int(BLOCK * window * FILL)
+                    if over < 0:
+                        held.append((name, 0, own, total))
+                        short, whole = short + total % window, whole + total
+                        if whole >= 4 * BLOCK * window:
+                            yield out()
+                            short = whole = 0
+                        continue
+                    held.append((name, 0, own[: total - over], total))
+                    yield out()
+                    short = whole = over
+                    if over:
+                        held.append((name, total - over, own[total - over :], total))
         if held:
             yield out()
 

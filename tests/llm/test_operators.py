@@ -206,6 +206,33 @@ def test_packing(docs):
     assert packing.windows(empty(docs), path).count() == 0
 
 
+def test_pack_raises_the_count_and_pads_little():
+    random = np.random.default_rng(1)
+    for sizes in (np.full(99, 1100), np.full(500, 1229), np.full(40, 2047), np.minimum(np.exp(random.normal(6, 1, 1000)).astype(int) + 1, 9000), np.array([5000, 1, 4096])):
+        found = packing.pack(sizes)
+        assert all(sum(n for _, _, n in w) <= 2048 for w in found)
+        pieces = sorted(p for w in found for p in w)
+        at = np.zeros(len(sizes), int)
+        for i, start, n in pieces:
+            assert start == at[i] and n > 0
+            at[i] += n
+        assert (at == sizes).all()
+        assert len(found) <= 1.03 * sizes.sum() / 2048 + 1
+    assert len(packing.levelled(np.full(6, 1500), 2048)) == 6  # without cuts the count rises from 5
+
+
+def test_packing_of_many_blocks(spark):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    random = np.random.default_rng(2)
+    rows = [(i, " ".join(random.choice(WORDS, int(random.integers(0, 900))))) for i in range(500)] + [(500, " ".join(WORDS) * 300)]
+    got = packing.windows(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), path).toPandas()
+    fill = got.groupby("sequence_id").length.sum()
+    assert fill.max() <= 2048 and 1 - fill.sum() / (2048 * len(fill)) < 0.02
+    own = got.groupby("doc_id")
+    assert (own.length.sum() == own.doc_tokens.first()).all() and len(own) == 501
+    assert got.sort_values(["doc_id", "start"]).groupby("doc_id").apply(lambda g: (g.start == g.length.cumsum() - g.length).all()).all()
+
+
 def test_differencing():
     sizes = np.random.default_rng(0).integers(1, 2000, 300)
     parts = packing.differencing(sizes, 40)
