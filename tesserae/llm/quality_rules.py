@@ -7,7 +7,8 @@ posterior probability that it is good reaches the threshold. No document has to
 
 Defined cases: a null or empty text has no words and fails the base rule (fewer than ``min_words``);
 repeated rows are judged alike, each on its own; an empty table gives an empty result; further
-columns are passed through by ``judge`` and internal names start with ``_q``, so they cannot clash.
+columns are passed through by ``judge``, but for those that are named like its results, which are replaced;
+internal names start with ``_q_``, and input columns of such names are refused.
 """
 
 from __future__ import annotations
@@ -25,8 +26,6 @@ BARE = list("!#$%&()*+,-./:;<=>?@[]^_{|}~")
 #: Most repeated windows that are looked up one by one.
 FEW = 16
 MIN_WORDS, MAX_REPEATED = 50, 50
-#: Most log-odds that an abstention or a vote to keep adds.
-MOST_FOR = 0.25
 
 
 def with_measures(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -77,24 +76,25 @@ def _share(part: str, whole: str) -> Column:
     return F.col(part).cast("double") / F.greatest(F.col(whole), F.lit(1)).cast("double")
 
 
-def _vote(value: Column, good: float, bad: float) -> Column:
-    """1 up to ``good``, -1 from ``bad`` on, else 0; the other way round if good > bad."""
-    if good < bad:
-        return F.when(value <= good, 1).when(value >= bad, -1).otherwise(0)
-    return F.when(value >= good, 1).when(value <= bad, -1).otherwise(0)
+def _fault(share: Column, most: float) -> Column:
+    """-1 above ``most``, else no vote: that one kind of fault is absent doesn't make a text good."""
+    return F.when(share > most, -1).otherwise(0)
 
 
-#: name -> vote; thresholds hold for any corpus size.
+#: name -> vote. The bounds of the first seven follow the rules published for MassiveText and its successors (symbols a
+#: word above 0.1, repeated lines above 0.3, words in repeated windows above 0.18, fewer than 0.8 of the words with a
+#: letter, a mean word length outside 3 to 10), or are of that kind (capitals, exclamation marks). The last two stand in
+#: for stop words in any language: texts have short words, and not only long ones.
 RULES = {
-    "symbols": lambda: _vote(_share("_q_n_symbols", "_q_n_words"), 0.02, 0.10),
-    "dup_lines": lambda: _vote(_share("_q_n_dup_lines", "_q_n_lines"), 0.10, 0.34),
-    "repeats": lambda: _vote(_share("_q_n_repeat", "_q_n_words"), 0.15, 0.40),
-    "capitals": lambda: _vote(_share("_q_n_upper", "_q_word_chars"), 0.08, 0.25),
-    "shouting": lambda: _vote(_share("_q_n_bang", "_q_n_words"), 0.02, 0.15),
-    "short_words": lambda: _vote(_share("_q_n_short", "_q_n_words"), 0.15, 0.06),
-    "long_words": lambda: _vote(_share("_q_n_long", "_q_n_words"), 0.60, 0.80),
-    "bare_words": lambda: _vote(_share("_q_n_bare", "_q_n_words"), 0.03, 0.15),
-    "mean_length": lambda: F.when(F.col("_q_n_words") < 5, 0).when((F.col("_q_word_chars") > 9 * F.col("_q_n_words")) | (F.col("_q_word_chars") < 2 * F.col("_q_n_words")), -1).otherwise(1),
+    "symbols": lambda: _fault(_share("_q_n_symbols", "_q_n_words"), 0.1),
+    "dup_lines": lambda: _fault(_share("_q_n_dup_lines", "_q_n_lines"), 0.3),
+    "repeats": lambda: _fault(_share("_q_n_repeat", "_q_n_words"), 0.18),
+    "capitals": lambda: _fault(_share("_q_n_upper", "_q_word_chars"), 0.25),
+    "shouting": lambda: _fault(_share("_q_n_bang", "_q_n_words"), 0.15),
+    "bare_words": lambda: _fault(_share("_q_n_bare", "_q_n_words"), 0.2),
+    "mean_length": lambda: F.when((F.col("_q_word_chars") > 10 * F.col("_q_n_words")) | (F.col("_q_word_chars") < 3 * F.col("_q_n_words")), -1).otherwise(0),
+    "short_words": lambda: F.when(_share("_q_n_short", "_q_n_words") >= 0.15, 1).when(_share("_q_n_short", "_q_n_words") < 0.06, -1).otherwise(0),
+    "long_words": lambda: F.when(_share("_q_n_long", "_q_n_words") <= 0.6, 1).when(_share("_q_n_long", "_q_n_words") > 0.8, -1).otherwise(0),
 }
 
 
@@ -117,9 +117,6 @@ def fit(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 200, smooth:
         for r in range(rules):
             hit = np.array([[(yes * (votes[:, r] == v)).sum(), (no * (votes[:, r] == v)).sum()] for v in (-1, 0, 1)]) + smooth
             weights[r] = np.log(hit[:, 0] / hit[:, 0].sum()) - np.log(hit[:, 1] / hit[:, 1].sum())
-        # A rule may be useless on a corpus, but a vote to reject never speaks for a document, nor one to keep against it.
-        # Each rule sees one kind of fault only: that it finds none says little (MOST_FOR), as most bad documents pass most rules.
-        weights[:, 0], weights[:, 1:] = np.minimum(weights[:, 0], 0), np.clip(weights[:, 1:], [-MOST_FOR, 0], MOST_FOR)
         odds = prior + weights[np.arange(rules), votes + 1].sum(1)
         new = 1 / (1 + np.exp(-np.clip(odds, -50, 50)))
         done = np.abs(new - good).max() < 1e-7
@@ -135,8 +132,11 @@ def judge(docs: DataFrame, text: str = "text", threshold: float = 0.5, keep_colu
     The measures are computed once and cut off in the shared checkpoint folder without the texts
     unless a caller keeps that column; the vote table that is collected has at most 3**len(RULES) rows.
     """
-    names = list(dict.fromkeys(keep_columns or docs.columns))
-    measured = with_measures(docs.select(*{*names, text}), text)
+    results = {"n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "posterior", "base_failed", "kept", *(f"vote_{k}" for k in RULES)}
+    names = [c for c in dict.fromkeys(keep_columns or docs.columns) if c.lower() not in results]
+    if clash := [c for c in names if c.lower().startswith("_q_")]:
+        raise ValueError(f"input columns {clash} have internal names")
+    measured = with_measures(docs.select(*dict.fromkeys([*names, text])), text)
     measured = measured.withColumns({f"_q_vote_{k}": v().cast("int") for k, v in RULES.items()})
     slim = cut(measured.select(*names, *[c for c in measured.columns if c.startswith("_q_")]))
     votes = [f"_q_vote_{k}" for k in RULES]

@@ -179,6 +179,33 @@ def test_quality_rules(docs):
         want = (len(w), sum(map(len, w)), len(re.findall("[#*$%&|<>]", t or "")), len(lines) - len(set(lines)), len(cover))
         assert tuple(got[i][c] for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")) == want
     assert quality_rules.judge(empty(docs)).count() == 0
+    clash = quality_rules.judge(docs.select("doc_id", "text", docs.n_chars.alias("posterior"), docs.lang.alias("Kept")))
+    assert sorted(clash.columns).count("posterior") == 1 and clash.columns.count("kept") == 1 and "Kept" not in clash.columns
+
+
+def test_em_recovers_the_accuracies_of_rules():
+    random, rules = np.random.default_rng(3), len(quality_rules.RULES)
+    good = random.random(20_000) < 0.85
+    says = {True: (0.02, 0.28, 0.7), False: (0.6, 0.3, 0.1)}
+    votes = np.where(good[:, None], random.choice([-1, 0, 1], (20_000, rules), p=says[True]), random.choice([-1, 0, 1], (20_000, rules), p=says[False]))
+    patterns, count = np.unique(votes, axis=0, return_counts=True)
+    prior, weights = quality_rules.fit([(tuple(p), int(c)) for p, c in zip(patterns.tolist(), count.tolist(), strict=True)])
+    assert abs(prior - np.log(0.85 / 0.15)) < 0.1
+    assert np.abs(weights - np.log(np.array(says[True]) / np.array(says[False]))).max() < 0.3
+    assert quality_rules.fit([])[0] == 0
+
+
+def test_quality_verdicts(spark):
+    """On the labelled documents of the smallest table, of which no rule or threshold was fitted: base failures by brute force, verdicts against labels."""
+    folder = "/root/testdata/sf0.01"
+    rows = {r["doc_id"]: r for r in quality_rules.judge(spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")).collect()}
+    for r in rows.values():
+        assert r["base_failed"] == (r["n_words"] < 50 or 100 * r["n_repeat_words"] > 50 * r["n_words"]) and not (r["kept"] and r["base_failed"])
+        assert r["kept"] == (not r["base_failed"] and r["posterior"] >= 0.5)
+    labels = [(r["quality"], rows[r["doc_id"]]) for r in spark.read.parquet(f"{folder}/labels.parquet").collect() if r["doc_id"] in rows]
+    good = [r["kept"] for q, r in labels if q == 1 and not r["base_failed"]]
+    bad = [not r["kept"] for q, r in labels if q == 0]
+    assert np.mean(good) > 0.97 and np.mean(bad) > 0.97
 
 
 def test_packing(docs):
