@@ -6,8 +6,8 @@ bytes only, so equal windows have equal anchors, and the windows of a text fall
 anchor. Only runs whose anchor occurs in two documents can matter; the pieces of text under them go to
 one bucket per anchor. There the Burrows-Wheeler transform of the collection of pieces is built column
 by column: each round inserts one more symbol of every piece, from its end, and updates the transform
-and the common prefixes of neighbouring suffixes, reading both as sequential files and writing them
-anew. Suffixes whose common prefix reaches the length are equal windows; the smallest document among
+and the common prefixes of neighbouring suffixes, reading both from end to end and writing them
+anew. Equal pieces of a bucket are one. Suffixes whose common prefix reaches the length are equal windows; the smallest document among
 them goes back to the blocks of documents, which mark and cut.
 
 A block sends an anchor once and a piece once, however often it holds them, so what a common passage
@@ -22,8 +22,6 @@ empty result; further columns are ignored; long texts are handled whole.
 from __future__ import annotations
 
 import hashlib
-import os
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -98,100 +96,111 @@ def by_bucket(bucket: np.ndarray, buckets_of: str, entries: list[np.ndarray], bl
 class Collection:
     """Transform and common prefixes of a collection of strings, built one symbol of each per round.
 
-    The state on disk is two sequential files, one byte per suffix each; a round reads both, finds
-    where the new suffixes go, and writes both anew. Only the current round's arrays are in memory,
-    and a collection has at most ``PIECES`` strings of under 2 * LENGTH - ANCHOR bytes.
+    The state is two sequences with an entry for each suffix, the symbol before it and the prefix it shares with the
+    suffix before; a round reads both from end to end and writes both anew with one suffix more of each string. They
+    are kept in memory: a collection has at most ``PIECES`` strings of under 2 * LENGTH - ANCHOR bytes, and executors
+    have no folder of their own to write to.
     """
 
-    def __init__(self, strings: np.ndarray, starts: np.ndarray, lengths: np.ndarray, folder: str):
+    def __init__(self, strings: np.ndarray, starts: np.ndarray, lengths: np.ndarray):
         self.strings, self.starts, self.lengths = strings, starts, lengths
-        self.files = [os.path.join(folder, "transform"), os.path.join(folder, "prefixes")]
+        # Symbols are numbered as far as they occur, so that they nearly always fit a byte.
+        used = np.flatnonzero(np.bincount(strings[ranges(starts, lengths)], minlength=256))
+        self.number = np.zeros(256, np.uint8 if len(used) < 256 else np.uint16)
+        self.number[used] = 1 + np.arange(len(used))
 
     def build(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(common prefix with the suffix before, string, offset in it) for all suffixes in order.
+        """(common prefix with the suffix before, string, offset in it) of the suffixes of LENGTH symbols or more, in order.
 
         Common prefixes are counted up to LENGTH; a string's end is smaller than any byte.
         """
         n = len(self.starts)
-        alive = np.arange(n)
         # Round 0: the empty suffixes, in the order of the strings; the symbol before each is the string's last.
-        self.write(self.symbol(alive, 0), np.zeros(n, np.uint8))
-        owner, length, at = alive.astype(np.int32), np.zeros(n, np.int16), np.arange(n)
+        alive = at = np.arange(n)
+        transform, prefixes = self.symbol(alive, 0), np.zeros(n, np.uint8)
         for j in range(1, int(self.lengths.max()) + 1 if n else 0):
-            transform, prefixes = (np.fromfile(f, np.uint8 if k else np.uint16) for k, f in enumerate(self.files))
             alive = alive[self.lengths[alive] >= j]
-            spot = at[alive]  # where the suffix that is one shorter stands
-            # Rank of each new suffix: those that begin with a smaller symbol, then equal symbols before it.
-            by_symbol = np.argsort(transform, kind="stable")
-            by_symbol = by_symbol[np.searchsorted(transform[by_symbol], 1) :]  # ends have no suffix before them
-            rank = np.empty(len(transform), np.int64)
-            rank[by_symbol] = np.arange(len(by_symbol))
-            target = n + rank[spot]
-            low = self.prefix_of(transform, prefixes, by_symbol, rank[spot])
-            after = rank[spot] + 1
+            by_symbol, rank = self.ranks(transform)
+            spot = rank[at[alive]]  # of the new suffix among those that begin with a symbol
+            low = self.shared(transform, prefixes, by_symbol, spot)
+            after = spot + 1
             has = after < len(by_symbol)
-            low_after = np.zeros(len(spot), np.uint8)
-            low_after[has] = self.prefix_of(transform, prefixes, by_symbol, after[has])
-            size = len(transform) + len(spot)
-            fresh = np.zeros(size, bool)
-            fresh[target] = True
-            old = np.flatnonzero(~fresh)
-            new_transform, new_prefixes = np.empty(size, np.uint16), np.empty(size, np.uint8)
-            new_owner, new_length = np.empty(size, np.int32), np.empty(size, np.int16)
-            for new, kept, added in ((new_transform, transform, self.symbol(alive, j)), (new_prefixes, prefixes, low), (new_owner, owner, alive), (new_length, length, j)):
-                new[old], new[target] = kept, added
-            new_prefixes[np.minimum(target[has] + 1, size - 1)] = low_after[has]
-            new_prefixes[n] = 0
-            owner, length = new_owner, new_length
-            at = old[at]
-            at[alive] = target
-            self.write(new_transform, new_prefixes)
-        _, prefixes = (np.fromfile(f, np.uint8 if k else np.uint16) for k, f in enumerate(self.files))
-        return prefixes, owner, self.lengths[owner] - length
+            low_after = self.shared(transform, prefixes, by_symbol, after[has])
+            fresh = np.zeros(n + len(by_symbol), bool)
+            fresh[n + spot] = True
+            old = ~fresh
+            grown = np.empty(len(fresh), transform.dtype), np.empty(len(fresh), np.uint8)
+            grown[0][old], grown[1][old] = transform, prefixes
+            grown[0][n + spot], grown[1][n + spot] = self.symbol(alive, j), low
+            grown[1][n + after[has]] = low_after
+            transform, prefixes = grown
+            at = np.empty_like(at)
+            at[alive] = n + spot
+        return self.long_suffixes(transform, prefixes)
+
+    @staticmethod
+    def ranks(transform: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Positions by the symbol before them, without those of whole strings, and the place of each position among them."""
+        by_symbol = np.argsort(transform, kind="stable")
+        by_symbol = by_symbol[len(transform) - int(np.count_nonzero(transform)) :]
+        rank = np.zeros(len(transform), np.int64)
+        rank[by_symbol] = np.arange(len(by_symbol))
+        return by_symbol, rank
 
     def symbol(self, which: np.ndarray, j: int) -> np.ndarray:
         """The symbol before the suffix of length j, from 1 up; 0 where the suffix is the whole string."""
         at = self.lengths[which] - j - 1
-        return np.where(at >= 0, self.strings[self.starts[which] + np.maximum(at, 0)].astype(np.uint16) + 1, 0).astype(np.uint16)
-
-    def write(self, transform: np.ndarray, prefixes: np.ndarray) -> None:
-        transform.astype(np.uint16).tofile(self.files[0])
-        prefixes.tofile(self.files[1])
+        return np.where(at >= 0, self.number[self.strings[self.starts[which] + np.maximum(at, 0)]], 0).astype(self.number.dtype)
 
     @staticmethod
-    def prefix_of(transform: np.ndarray, prefixes: np.ndarray, by_symbol: np.ndarray, rank: np.ndarray) -> np.ndarray:
-        """Common prefix of the rank-th symbol's suffix with the one before: one more than the least prefix between them."""
-        here = by_symbol[rank]
-        before = by_symbol[np.maximum(rank - 1, 0)]
-        same = (rank > 0) & (transform[here] == transform[before])
-        out = np.zeros(len(rank), np.uint8)
-        lo, hi = before[same] + 1, here[same]
-        span = hi - lo + 1
-        level = np.frexp(span.astype(float))[1] - 1
-        least, table = np.empty(len(lo), np.uint8), prefixes
-        for k in range(int(level.max()) + 1 if len(level) else 0):
-            at = level == k
-            least[at] = np.minimum(table[lo[at]], table[hi[at] - (1 << k) + 1])
-            step = 1 << k
-            table = np.minimum(table[: len(table) - step], table[step:]) if len(table) > step else table
-        out[same] = np.minimum(least.astype(np.int16) + 1, LENGTH).astype(np.uint8)
+    def shared(transform: np.ndarray, prefixes: np.ndarray, by_symbol: np.ndarray, spot: np.ndarray) -> np.ndarray:
+        """Common prefix with the suffix before of those at ``spot``: one more than the least prefix between what they extend."""
+        here, before = by_symbol[spot], by_symbol[np.maximum(spot - 1, 0)]
+        same = np.flatnonzero((spot > 0) & (transform[here] == transform[before]))
+        same = same[np.argsort(before[same])]
+        out = np.zeros(len(spot), np.uint8)
+        if len(same):
+            # Every second reduction, over what lies between two spans, is left out.
+            span = np.column_stack([before[same] + 1, here[same] + 1]).ravel()
+            least = np.minimum.reduceat(np.append(prefixes, np.uint8(0)), span)[::2]
+            out[same] = np.minimum(least, LENGTH - 1) + 1
         return out
 
+    def long_suffixes(self, transform: np.ndarray, prefixes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Steps back from the end of every string, which is the first suffix, to the suffix that is the string."""
+        n = len(self.starts)
+        _, rank = self.ranks(transform)
+        at, spots, owners, offsets = np.arange(n), [], [], []
+        alive = np.arange(n)
+        for j in range(1, int(self.lengths.max()) + 1 if n else 0):
+            alive = alive[self.lengths[alive] >= j]
+            at[alive] = n + rank[at[alive]]
+            if j >= LENGTH:
+                spots.append(at[alive])
+                owners.append(alive)
+                offsets.append(self.lengths[alive] - j)
+        if not spots:
+            none = np.zeros(0, np.int64)
+            return none, none, none
+        spot = np.concatenate(spots)
+        order = np.argsort(spot)
+        spot = spot[order]
+        # Shorter suffixes may stand between two long ones; what these share is the least on the way.
+        edges = np.append(0, spot[:-1] + 1)
+        return np.minimum.reduceat(prefixes[: spot[-1] + 1], edges), np.concatenate(owners)[order], np.concatenate(offsets)[order]
+
 
 def least_documents(text: np.ndarray, starts: np.ndarray, lengths: np.ndarray, docs: np.ndarray) -> np.ndarray:
     """For every window of every piece, piece by piece, the smallest document that holds an equal window."""
     windows = lengths - LENGTH + 1
     begin = np.cumsum(windows) - windows
     out = np.empty(int(windows.sum()), np.int64)
-    with tempfile.TemporaryDirectory() as folder:
-        prefixes, owner, offset = Collection(text, starts, lengths, folder).build()
-    full = offset <= lengths[owner] - LENGTH
-    new = prefixes < LENGTH
-    group = np.cumsum(new)[full]
-    first, ends = groups(group)
-    if len(first):
-        least = np.minimum.reduceat(docs[owner[full]], first)
-        out[begin[owner[full]] + offset[full]] = np.repeat(least, ends - first)
+    prefixes, owner, offset = Collection(text, starts, lengths).build()
+    if len(owner):
+        first = np.flatnonzero(prefixes < LENGTH)
+        first = first if len(first) and first[0] == 0 else np.append(0, first)
+        least = np.minimum.reduceat(docs[owner], first)
+        out[begin[owner] + offset] = np.repeat(least, np.diff(np.append(first, len(owner))))
     return out
 
 
@@ -207,9 +216,9 @@ def piece_keys(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.
 def distinct_pieces(data: np.ndarray, start: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(index of the first piece of each distinct content, the distinct number of every piece)."""
     lengths = (count + LENGTH - 1).astype(np.int64)
-    at = np.zeros(len(start) + 1, np.int32)
+    at = np.zeros(len(start) + 1, np.int64)
     np.cumsum(lengths, out=at[1:])
-    column = pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(at), pa.py_buffer(data[ranges(start, lengths)])]).dictionary_encode()
+    column = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(at), pa.py_buffer(data[ranges(start, lengths)])]).dictionary_encode()
     code = column.indices.to_numpy()
     first = np.full(len(column.dictionary), -1, np.int64)
     first[code[::-1]] = np.arange(len(code))[::-1]
@@ -296,7 +305,7 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wit
                 to = int(np.searchsorted(anchor[order], anchor[order[to]]))
                 to = to if to > at else int(np.searchsorted(anchor[order], anchor[order[at]], "right"))
             part = order[at:to]
-            out.append((part, least_of(text, starts[part], lengths[part], doc[part])))
+            out.append((part, least_of(text, starts[part], lengths[part], doc[part], anchor[part])))
             at = to
         if not out:
             return pa.table({"block": pa.array([], pa.int32()), "e0": pa.array([], pa.binary()), "e1": pa.array([], pa.binary())})
@@ -312,9 +321,20 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wit
         e1 = [low[ranges(begin[back[i:j]], windows[back[i:j]])].tobytes() for i, j in zip(edges, ends, strict=True)]
         return pa.table({"block": pa.array(b[edges].astype(np.int32)), "e0": pa.array(e0, pa.binary()), "e1": pa.array(e1, pa.binary())})
 
-    def least_of(text: np.ndarray, starts: np.ndarray, lengths: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    def least_of(text: np.ndarray, starts: np.ndarray, lengths: np.ndarray, doc: np.ndarray, anchor: np.ndarray) -> np.ndarray:
         if len(starts) <= PIECES:
-            return least_documents(text, starts, lengths, doc)
+            # Equal pieces of several blocks are one, with the smallest of their documents.
+            first, code = distinct_pieces(text, starts, lengths - LENGTH + 1)
+            low = np.full(len(first), np.iinfo(np.int64).max)
+            np.minimum.at(low, code, doc)
+            windows = (lengths - LENGTH + 1)[first]
+            found = np.repeat(low, windows)
+            # An anchor with a single piece shares its windows with no other; the construction is for those with several.
+            _, own, count = np.unique(anchor[first], return_inverse=True, return_counts=True)
+            several = np.flatnonzero(count[own] > 1)
+            at = (np.cumsum(windows) - windows)[several]
+            found[ranges(at, windows[several])] = least_documents(text, starts[first][several], lengths[first][several], low[several])
+            return found[ranges((np.cumsum(windows) - windows)[code], windows[code])]
         windows = lengths - LENGTH + 1
         at = ranges(starts, windows)
         owner = np.repeat(doc, windows)
