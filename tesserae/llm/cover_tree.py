@@ -1,17 +1,19 @@
 """Exact cosine pairs over a threshold by dual traversal of cover trees.
 
-Unit vectors at cosine c have distance sqrt(2 - 2c), so the join is a distance join at radius T.
-A bounded sample gives the centres of the trees' top nodes; every vector goes to its nearest centre,
-and the covering radius of a node is the largest distance of its vectors. A pair of top nodes is
-pruned when its centres are further apart than T and both covering radii; a vector meets another node
-only if its own distance allows. Inside a task both sides get nested levels whose radii halve; the
-dual traversal keeps the node pairs that d(p, q) <= T + radius(p) + radius(q) leaves, level by level,
-and tests what remains at the leaves in double precision. Levels that would hold nearly every vector
-alone are left implicit, as in the explicit form of a cover tree.
+Unit vectors at cosine c have distance sqrt(2 - 2c), so the join is a distance join at radius T. Equal
+vectors are one, with their number. A bounded sample gives the centres of the trees' top nodes; every
+vector goes to its nearest centre, and the covering radius of a node is the largest distance of its
+vectors. A pair of top nodes is pruned when its centres are further apart than T and both covering
+radii; a vector meets another node only if its own distance allows. Nodes of many vectors are dealt in
+parts. Inside a task both sides get nested levels whose radii halve; the dual traversal keeps the node
+pairs that d(p, q) <= T + radius(p) + radius(q) leaves, level by level, and tests what remains at the
+leaves: in single precision with a margin that covers its rounding, then in double precision. Levels
+that would hold nearly every vector alone are left implicit, as in the explicit form of a cover tree.
 
 Defined cases: a vector that is null, empty, zero, or holds a null or non-finite component links with
 nothing and forms its own component; vectors of unequal lengths never link; ties and equal vectors
-link; repeated ids each count; an empty table gives an empty result; further columns are ignored.
+link; of rows with one id each counts as a vector, and they share a component; an empty table gives an
+empty result; further columns are ignored. Vectors of a length that the sample misses have a single top node.
 """
 
 from __future__ import annotations
@@ -23,13 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tesserae.llm.blocks import mix, ranges
 from tesserae.llm.graph import components
 from tesserae.llm.session import cut
 
 #: Vectors that a top node holds on average, and that a sample of centres is chosen from at most.
-NODE, SAMPLE = 1024, 16_384
-#: Slack for rounding in bounds; the leaves decide exactly.
-EPS = 1e-9
+NODE, SAMPLE = 4096, 16_384
+#: Slack for rounding in bounds: sqrt(2 - 2c) near 0 is off by up to 2e-8. The leaves decide exactly.
+EPS = 1e-7
 
 
 def usable(vector: str = "embedding") -> str:
@@ -76,6 +79,10 @@ def tree(points: np.ndarray, limit: float) -> list[Level]:
     members, radius = np.zeros(len(points), np.int64), float(levels[0].radius[0])
     while radius > limit / 4 and len(points) > 1:
         radius /= 2
+        # If few of some points have others that near, a net would keep nearly all.
+        some = points[:: max(1, len(points) // 256)]
+        if ((some @ points.T >= 1.0 - radius * radius / 2.0).sum(axis=1) > 1).mean() < 0.1:
+            break
         centres, owner = net(points, radius)
         if len(centres) > 0.9 * len(points):
             break
@@ -111,12 +118,17 @@ def dual(a: list[Level], b: list[Level], cosine: float) -> tuple[np.ndarray, np.
         wide = np.zeros((len(x.centres), len(y.centres)), bool)
         if len(use_r) and len(use_c):
             leaves = x is a[-1] and y is b[-1]
-            dots = x.centres[use_r] @ y.centres[use_c].T
             if leaves:
-                near = dots >= cosine
-            else:
-                bound = np.minimum(reach + x.radius[use_r][:, None] + y.radius[use_c][None, :] + EPS, 2.0)
-                near = dots >= 1.0 - bound * bound / 2.0
+                left, right = x.centres[use_r], y.centres[use_c]
+                # Rounding of a dot product of unit vectors in single precision stays under the margin.
+                r, c = np.nonzero(left.astype(np.float32) @ right.astype(np.float32).T >= np.float32(cosine - 1e-6 - 2e-7 * left.shape[1]))
+                exact = (left[r] * right[c]).sum(axis=1) >= cosine
+                r, c = r[exact], c[exact]
+                held = alive[rows[use_r[r]], cols[use_c[c]]]
+                return use_r[r[held]], use_c[c[held]]
+            dots = x.centres[use_r] @ y.centres[use_c].T
+            bound = np.minimum(reach + x.radius[use_r][:, None] + y.radius[use_c][None, :] + EPS, 2.0)
+            near = dots >= 1.0 - bound * bound / 2.0
             r, c = np.nonzero(near)
             held = alive[rows[use_r[r]], cols[use_c[c]]]
             wide[use_r[r[held]], use_c[c[held]]] = True
@@ -137,71 +149,78 @@ def centres_of(sample: np.ndarray, count: int) -> np.ndarray:
     return sample[chosen]
 
 
-def node_pairs(vectors: DataFrame, cosine: float, vec_id: str, embedding: str) -> tuple[DataFrame, int]:
-    """(block, side, id, unit vector) of all top node pairs that survive, and the number of rows that can link."""
-    good = cut(vectors.where(usable(f"`{embedding}`")).select(F.col(vec_id).cast("long").alias("id"), F.col(embedding).cast("array<double>").alias("v")))
-    n = good.count()
-    widths = [r[0] for r in good.groupBy(F.size("v").alias("w")).count().orderBy(F.desc("count")).limit(4096).select("w").collect()]
+def node_pairs(vectors: DataFrame, cosine: float, embedding: str) -> DataFrame:
+    """(w, lo, hi, side, id, weight, v) of the distinct vectors (id, weight, v) that can link: all parts of top nodes that survive, two by two."""
+    count = vectors.count()
     reach = float(np.sqrt(2.0 - 2.0 * cosine))
-    spark = vectors.sparkSession
-    plans = {}
-    for w in widths:
-        share = good.where(F.size("v") == w)
-        taken = share.where(F.pmod(F.xxhash64("id"), F.lit(max(1, n // (SAMPLE // 2)))) == 0).orderBy(F.xxhash64("id", F.lit(7))).limit(SAMPLE).collect()
-        if not taken:
-            taken = share.limit(1).collect()
-        sample = unit(np.array([r["v"] for r in taken], float))
-        # At most SAMPLE / 4 centres, whatever the table's size.
-        plans[w] = centres_of(sample, int(min(max(1, n // NODE), SAMPLE // 4)))
-    broadcast = spark.sparkContext.broadcast(plans)
+    taken = vectors.select(embedding).where(F.pmod(F.xxhash64("id"), F.lit(max(1, count // (SAMPLE // 2)))) == 0).limit(SAMPLE).collect()
+    samples: dict[int, list] = {}
+    for r in taken:
+        samples.setdefault(len(r[0]), []).append(r[0])
+    # At most SAMPLE / 4 centres, whatever the table's size.
+    plans = {w: centres_of(unit(np.array(x, float)), int(min(max(1, count * len(x) // (len(taken) * NODE)), SAMPLE // 4))) for w, x in samples.items()}
+    broadcast = vectors.sparkSession.sparkContext.broadcast(plans)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes = np.diff(batch.column(1).offsets.to_numpy())
+            sizes = np.diff(batch.column(2).offsets.to_numpy())
             for w in np.unique(sizes):
                 part = batch.filter(pa.array(sizes == w))
+                v = unit(part.column(2).flatten().to_numpy().reshape(part.num_rows, int(w)))
                 centres = broadcast.value.get(int(w))
-                if centres is None or not part.num_rows:
-                    continue
-                v = unit(part.column(1).flatten().to_numpy().reshape(part.num_rows, int(w)))
-                d = distances(v, centres)
-                own = np.argmin(d, axis=1)
-                ids = part.column(0).to_numpy()
-                column = lambda x: pa.array(x)
-                yield pa.RecordBatch.from_arrays([column(np.full(len(ids), w, np.int32)), column(own.astype(np.int32)), column(d[np.arange(len(ids)), own]), column(ids), pa.array([x.tobytes() for x in v], pa.binary())], ["w", "node", "d", "id", "v"])
-
-    nodes = cut(good.mapInArrow(assign, "w int, node int, d double, id long, v binary"))
-    # One covering radius per top node: as many rows as there are centres.
-    radius = {(r["w"], r["node"]): r["r"] for r in nodes.groupBy("w", "node").agg(F.max("d").alias("r")).collect()}
-    cover = spark.sparkContext.broadcast(radius)
+                own, far = np.zeros(len(v), np.int64), np.full(len(v), 2.0)
+                if centres is not None:
+                    d = distances(v, centres)
+                    own = np.argmin(d, axis=1)
+                    far = d[np.arange(len(v)), own]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), w, np.int32)), pa.array(own.astype(np.int32)), pa.array(far), part.column(0), part.column(1), pa.array([x.tobytes() for x in v], pa.binary())], ["w", "node", "d", "id", "weight", "v"])
+
+    nodes = cut(vectors.select("id", "weight", embedding).mapInArrow(assign, "w int, node int, d double, id long, weight long, v binary"))
+    # Covering radius and size of each top node: as many rows as there are centres, and one for each length without.
+    tops = {(r["w"], r["node"]): (r["r"], -(-r["n"] // NODE)) for r in nodes.groupBy("w", "node").agg(F.max("d").alias("r"), F.count("*").alias("n")).collect()}
+    cover = vectors.sparkSession.sparkContext.broadcast(tops)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             widths_of = batch.column(0).to_numpy()
             for w in np.unique(widths_of):
                 part = batch.filter(pa.array(widths_of == w))
-                centres = broadcast.value[int(w)]
-                r = np.array([cover.value.get((int(w), k), -4.0) for k in range(len(centres))])
-                own, v = part.column(1).to_numpy(), np.frombuffer(b"".join(part.column(4).to_pylist()), float).reshape(part.num_rows, int(w))
-                # A vector meets another node if that node's ball around its centre comes within reach.
-                meets = distances(v, centres) <= reach + r[None, :] + EPS
-                between = distances(centres, centres) <= reach + r[None, :] + r[:, None] + EPS
-                meets &= between[own]
-                meets[np.arange(len(own)), own] = True
+                centres = broadcast.value.get(int(w))
+                k = 1 if centres is None else len(centres)
+                r = np.array([cover.value.get((int(w), i), (-4.0, 0))[0] for i in range(k)])
+                parts = np.array([cover.value.get((int(w), i), (-4.0, 0))[1] for i in range(k)])
+                first = np.cumsum(parts) - parts
+                own, v = part.column(1).to_numpy(), np.frombuffer(b"".join(part.column(5).to_pylist()), float).reshape(part.num_rows, int(w))
+                meets = np.ones((len(own), k), bool)
+                if centres is not None:
+                    # A vector meets another node if that node's ball around its centre comes within reach.
+                    meets = distances(v, centres) <= reach + r[None, :] + EPS
+                    between = distances(centres, centres) <= reach + r[None, :] + r[:, None] + EPS
+                    meets &= between[own]
+                    meets[np.arange(len(own)), own] = True
+                mine = first[own] + mix(part.column(3).to_numpy().view(np.uint64)).astype(np.uint64) % parts[own].astype(np.uint64)
+                mine = mine.astype(np.int64)
                 at, other = np.nonzero(meets)
-                lo, hi = np.minimum(own[at], other).astype(np.int64), np.maximum(own[at], other).astype(np.int64)
-                side = (own[at] != lo).astype(np.int8)
-                yield pa.RecordBatch.from_arrays([pa.array((np.int64(w) << 40) + (lo << 20) + hi), pa.array(side.astype(np.int32)), part.column(3).take(pa.array(at)), part.column(4).take(pa.array(at))], ["block", "side", "id", "v"])
+                at, theirs = np.repeat(at, parts[other]), ranges(first[other], parts[other])
+                lo, hi = np.minimum(mine[at], theirs), np.maximum(mine[at], theirs)
+                rows = pa.array(at)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), w, np.int32)), pa.array(lo), pa.array(hi), pa.array((mine[at] != lo).astype(np.int32)), part.column(3).take(rows), part.column(4).take(rows), part.column(5).take(rows)], ["w", "lo", "hi", "side", "id", "weight", "v"])
+
+    return nodes.mapInArrow(deal, "w int, lo long, hi long, side int, id long, weight long, v binary").repartition("w", "lo", "hi")
+
 
-    return nodes.mapInArrow(deal, "block long, side int, id long, v binary"), n
+def distinct_vectors(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
+    """(id, weight, embedding): the smallest id and the number of rows of each vector that can link."""
+    good = vectors.where(usable(f"`{embedding}`")).select(F.col(vec_id).cast("long").alias("id"), F.col(embedding).cast("array<double>").alias(embedding))
+    return cut(good.groupBy(embedding).agg(F.min("id").alias("id"), F.count("*").alias("weight")).select("id", "weight", embedding))
 
 
 def joined(group: pa.Table, cosine: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of ids within one block; sides are cut into parts of at most 2 * NODE, so memory stays bounded."""
-    w = len(group["v"][0].as_py()) // 8
+    """Pairs of rows within one block; sides are cut into parts of at most 2 * NODE, so memory stays bounded."""
+    w = group["w"][0].as_py()
     v = np.frombuffer(b"".join(group["v"].to_pylist()), float).reshape(-1, w)
-    ids, side, block = group["id"].to_numpy(), group["side"].to_numpy(), group["block"][0].as_py()
-    single = (block >> 20) & 0xFFFFF == block & 0xFFFFF
+    side = group["side"].to_numpy()
+    single = group["lo"][0].as_py() == group["hi"][0].as_py()
     parts = lambda at: [at[i : i + 2 * NODE] for i in range(0, len(at), 2 * NODE)]
     left = [(x, tree(v[x], float(np.sqrt(2 - 2 * cosine)))) for x in parts(np.flatnonzero(side == 0))]
     right = left if single else [(x, tree(v[x], float(np.sqrt(2 - 2 * cosine)))) for x in parts(np.flatnonzero(side == 1))]
@@ -210,48 +229,49 @@ def joined(group: pa.Table, cosine: float) -> Iterator[tuple[np.ndarray, np.ndar
             r, c = dual(t, u, cosine)
             if y is x:
                 r, c = r[r < c], c[r < c]
-            yield ids[x[r]], ids[y[c]]
+            yield x[r], y[c]
 
 
 def pairs(vectors: DataFrame, cosine: float = 0.9, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """(a, b) with a < b of every pair of vectors whose cosine reaches the threshold."""
-    dealt, _ = node_pairs(vectors, cosine, vec_id, embedding)
+    """(a, b) with a < b of every pair of distinct vectors, named by their smallest ids, whose cosine reaches the threshold."""
+    dealt = node_pairs(distinct_vectors(vectors, vec_id, embedding), cosine, embedding)
 
     def run(group: pa.Table) -> pa.Table:
-        found = [np.zeros((0, 2), np.int64)] + [np.sort(np.column_stack(p), axis=1) for p in joined(group, cosine)]
+        ids = group["id"].to_numpy()
+        found = [np.zeros((0, 2), np.int64)] + [np.sort(np.column_stack([ids[i], ids[j]]), axis=1) for i, j in joined(group, cosine)]
         both = np.concatenate(found)
         return pa.table({"a": both[:, 0], "b": both[:, 1]})
 
-    return dealt.groupBy("block").applyInArrow(run, "a long, b long")
+    return dealt.groupBy("w", "lo", "hi").applyInArrow(run, "a long, b long")
 
 
 def clusters(vectors: DataFrame, cosine: float = 0.9, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """(vec_id, n_links, component_id, kept) per vector; blocks return counts and spanning links, not their pairs."""
-    dealt, _ = node_pairs(vectors, cosine, vec_id, embedding)
+    vectors = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("embedding"))
+    distinct = distinct_vectors(vectors, "vec_id", "embedding")
 
     def run(group: pa.Table) -> pa.Table:
-        names = np.unique(group["id"].to_numpy())
-        count, root = np.zeros(len(names), np.int64), np.arange(len(names))
-        for a, b in joined(group, cosine):
-            i, j = np.searchsorted(names, a), np.searchsorted(names, b)
-            np.add.at(count, i, 1)
-            np.add.at(count, j, 1)
+        ids, weight = group["id"].to_numpy(), group["weight"].to_numpy()
+        count, root = np.zeros(len(ids), np.int64), np.arange(len(ids))
+        for i, j in joined(group, cosine):
+            np.add.at(count, i, weight[j])
+            np.add.at(count, j, weight[i])
             while len(i):  # hook larger roots to smaller ones and shorten, until all links are inside trees
                 p, q = root[i], root[j]
                 open_ = p != q
                 i, j, p, q = i[open_], j[open_], p[open_], q[open_]
                 np.minimum.at(root, np.maximum(p, q), np.minimum(p, q))
-                while True:
-                    up = root[root]
-                    if (up == root).all():
-                        break
-                    root = up
+                while (root[root] != root).any():
+                    root = root[root]
         hit = count > 0
-        return pa.table({"a": names[hit], "b": names[root[hit]], "n": count[hit]})
-
-    found = cut(dealt.groupBy("block").applyInArrow(run, "a long, b long, n long"))
-    counts = found.groupBy(F.col("a").alias("vec_id")).agg(F.sum("n").alias("n_links"))
-    labels = components(found.select("a", "b"))
-    out = vectors.select(F.col(vec_id).cast("long").alias("vec_id")).join(counts, "vec_id", "left").join(labels.withColumnRenamed("node", "vec_id"), "vec_id", "left")
-    root_ = F.coalesce("component", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), root_.alias("component_id"), (root_ == F.col("vec_id")).alias("kept"))
+        return pa.table({"a": ids[hit], "b": ids[root[hit]], "n": count[hit]})
+
+    found = cut(node_pairs(distinct, cosine, "embedding").groupBy("w", "lo", "hi").applyInArrow(run, "a long, b long, n long"))
+    counts = found.groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("n"))
+    # Rows of one id are in one component, as are equal vectors.
+    named = vectors.join(distinct, "embedding", "left").select("vec_id", "id", "weight")
+    named = cut(named)
+    labels = components(found.select("a", "b").unionByName(named.where("id IS NOT NULL").select(F.col("vec_id").alias("a"), F.col("id").alias("b"))))
+    out = named.join(counts, "id", "left").join(labels.withColumnRenamed("node", "vec_id"), "vec_id", "left")
+    top = F.coalesce("component", "vec_id")
+    return out.select("vec_id", (F.coalesce("n", F.lit(0)) + F.coalesce("weight", F.lit(1)) - 1).cast("long").alias("n_links"), top.alias("component_id"), (top == F.col("vec_id")).alias("kept"))

@@ -382,6 +382,24 @@ def test_cover_tree(spark):
     assert {tuple(r) for r in cover_tree.pairs(df).collect()} == want
     got = {r["vec_id"]: r for r in cover_tree.clusters(df).collect()}
     assert len(got) == len(rows) and all(got[i]["n_links"] == near[i].sum() for i in range(300)) and all(got[i]["kept"] for i in range(900, 905))
+    assert cover_tree.clusters(df.where("vec_id < 0")).count() == 0
+
+
+def test_cover_tree_of_equal_vectors_ids_and_lengths(spark, monkeypatch):
+    random = np.random.default_rng(5)
+    tight = random.normal(size=6) + 0.02 * random.normal(size=(40, 6))
+    rows = [(i, tight[0].tolist()) for i in range(30)] + [(100 + i, x.tolist()) for i, x in enumerate(tight[1:])] + [(200, tight[0].tolist()), (200, [-1.0] + [0.0] * 5)]
+    rows += [(300 + i, [1.0] * (7 + i // 2)) for i in range(8)]
+    monkeypatch.setattr(cover_tree, "NODE", 8)
+    got = cover_tree.clusters(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    links, n = {}, len(rows)
+    u = [np.array(v) / np.linalg.norm(v) for _, v in rows]
+    for i in range(n):
+        links.setdefault(rows[i][0], []).append(sum(i != j and len(u[i]) == len(u[j]) and u[i] @ u[j] >= 0.9 for j in range(n)))
+    assert len(got) == n
+    for i in links:
+        assert sorted(r["n_links"] for r in got if r["vec_id"] == i) == sorted(links[i])
+        assert {r["component_id"] for r in got if r["vec_id"] == i} == {0 if i < 300 else i - i % 2}
 
 
 def test_quality_classifier(spark):
