@@ -3,16 +3,22 @@
 Entities are found by one pattern. Each is mapped by a keyed cipher that works inside the classes of
 its characters: digits become digits, letters letters of the same case and script (vowels stay vowels
 and consonants consonants), separators stay, so type, script and format are kept. The cipher runs
-over the entity forwards and backwards, each character shifted by a keyed hash of the characters
-already written, and so is one-to-one among strings of a shape: two entities never share a
-surrogate, and an entity has the same surrogate wherever it occurs. The last letter of a name and its
-title stay, so that its grammatical gender stays visible. A collision check looks for surrogates that
-are themselves entities of the corpus (or equal their own original); those entities get surrogates
-under further keys, then longer ones, until each is neither an entity nor another's surrogate.
+over the entity forwards and backwards, each character shifted by a keyed SHA-256 of the characters
+already written, and so is one-to-one among strings of a shape; an entity has the same surrogate
+wherever it occurs. Card numbers and IBANs that are valid get valid check digits, and IBANs keep their
+country. Names are found by their titles; within a document their words are then replaced wherever they
+stand, with or without title, each word always by the same one, so that mentions still belong together.
+A title stays, and so does a last letter that marks a feminine name; all other letters change.
+
+A collision check looks for surrogates that are themselves entities of the corpus (or equal their own
+original) or that two entities share; those entities get surrogates under further keys, then longer
+ones, until each is neither an entity nor another's surrogate.
 
 Defined cases: null stays null and empty stays empty; texts without entities are returned unchanged;
 repeated rows get equal surrogates; an empty table gives an empty result; further columns pass
-through (internal names start with ``_p``).
+through, but for one named ``n_entities``, which is replaced (internal names start with ``_p_``). The key
+stands in the query's plan, so plans are as confidential as it is. A name without a title anywhere in its
+document isn't found.
 """
 
 from __future__ import annotations
@@ -62,6 +68,9 @@ def _other_letters(most: int = 1000) -> list[str]:
     return ["".join(x) for x in [*found.values(), *single.values()] if 1 < len(x) < most]
 
 
+#: Last letters that mark feminine names, and classes for all others.
+FEMININE = "aáàâаяα"
+LAST = ["".join(c for c in k if c not in FEMININE) for k in CLASSES]
 #: Classes that only characters beyond ASCII are looked up in.
 OTHER = _other_letters()
 #: Further keys tried for an entity whose surrogate is taken before the surrogate is made longer.
@@ -80,13 +89,20 @@ def kind_of(entity: str) -> str:
     return "CASE " + " ".join(f"WHEN {entity} RLIKE {_quote(p)} THEN '{k}'" for k, p in tests.items()) + " ELSE 'name' END"
 
 
+def _shift(key: str, written: str, n: int | str) -> str:
+    """SQL: a number below n from a keyed hash of what is written already."""
+    return f"pmod(cast(conv(substr(sha2(concat({_quote(key + '|')}, {written}), 256), 1, 15), 16, 10) as bigint), {n})"
+
+
+def _shifted(c: str, classes: list[str], key: str, written: str, other: list[str]) -> str:
+    """SQL: the character ``c`` shifted within its class."""
+    when = lambda ks: " ".join(f"WHEN locate({c}, {_quote(k)}) > 0 THEN substr({_quote(k)}, cast(pmod(locate({c}, {_quote(k)}) - 1 + {_shift(key, written, len(k))}, {len(k)}) as int) + 1, 1)" for k in ks)
+    return f"CASE {when(classes)}" + (f" WHEN ascii({c}) > 127 THEN CASE {when(other)} ELSE {c} END" if other else "") + f" ELSE {c} END"
+
+
 def _pass(chars: str, classes: list[str], key: str, other: list[str]) -> str:
     """SQL: the characters in the array ``chars``, each shifted within its class by a keyed hash of those already written."""
-    shift = "pmod(xxhash64({key}, s.h, s.n), {n})"
-    when = lambda ks: " ".join(f"WHEN locate(c, {_quote(k)}) > 0 THEN substr({_quote(k)}, cast(pmod(locate(c, {_quote(k)}) - 1 + {shift.format(key=_quote(key), n=len(k))}, {len(k)}) as int) + 1, 1)" for k in ks)
-    cases = when(classes) + (f" WHEN ascii(c) > 127 THEN CASE {when(other)} ELSE c END" if other else "")
-    step = f"(s, c) -> transform(array(CASE {cases} ELSE c END), d -> named_struct('out', concat(s.out, d), 'h', xxhash64(s.h, d), 'n', s.n + 1))[0]"
-    return f"aggregate({chars}, named_struct('out', '', 'h', 0L, 'n', 0), {step}, s -> s.out)"
+    return f"aggregate({chars}, '', (s, c) -> concat(s, {_shifted('c', classes, key, 's', other)}))"
 
 
 def _cipher(text: str, classes: list[str], key: str, other: list[str] = []) -> str:  # noqa: B006
@@ -97,28 +113,63 @@ def _cipher(text: str, classes: list[str], key: str, other: list[str] = []) -> s
     return f"reverse({text})" if (PASSES - 1) % 2 else text
 
 
+def _luhn(body: str) -> str:
+    """SQL: the digit that makes the number valid whose other digits are those in ``body``."""
+    return f"filter(array('0', '1', '2', '3', '4', '5', '6', '7', '8', '9'), x -> luhn_check(concat(regexp_replace({body}, '[^0-9]', ''), x)))[0]"
+
+
+def _remainder(chars: str) -> str:
+    """SQL: the number that digits and letters (A is 10) stand for, modulo 97."""
+    return f"aggregate(split({chars}, ''), 0L, (n, c) -> CASE WHEN c BETWEEN '0' AND '9' THEN (n * 10 + cast(c as bigint)) % 97 ELSE (n * 100 + ascii(c) - 55) % 97 END)"
+
+
 def surrogate(entity: str, key: str) -> str:
-    """SQL for the surrogate of the entity in the SQL expression ``entity``: one step of the permutation."""
+    """SQL for the surrogate of the entity (of a name, one word) in the SQL expression ``entity``: one step of the permutation."""
     e = "e"
-    kept_end = f"concat(regexp_extract({e}, {_quote(TITLE)}, 0), {_cipher(f'substr({e}, length(regexp_extract({e}, {_quote(TITLE)}, 0)) + 1, length({e}) - length(regexp_extract({e}, {_quote(TITLE)}, 0)) - 1)', CLASSES, key + '/name', OTHER)}, right({e}, 1))"
-    email = f"concat({_cipher(f'substring_index({e}, {_quote('@')}, 1)', CLASSES, key + '/email')}, '@', {_cipher(f'regexp_extract({e}, {_quote('@(.*)[.]')}, 1)', CLASSES, key + '/host')}, '.', substring_index({e}, '.', -1))"
+    name = f"transform(array({_cipher(f'substr({e}, 1, length({e}) - 1)', CLASSES, key + '/name', OTHER)}), p -> concat(p, transform(array(right({e}, 1)), l -> CASE WHEN locate(l, {_quote(FEMININE)}) > 0 THEN l ELSE {_shifted('l', LAST, key + '/last', 'p', OTHER)} END)[0]))[0]"
+    host = lambda k: _cipher("h", CLASSES, key + k)
+    other_host = f"transform(array(regexp_extract({e}, {_quote('@(.*)[.]')}, 1)), h -> transform(array({host('/host')}), g -> CASE WHEN g <> h THEN g WHEN {host('/host again')} <> h THEN {host('/host again')} ELSE concat('x', h) END)[0])[0]"
+    email = f"concat({_cipher(f'substring_index({e}, {_quote('@')}, 1)', CLASSES, key + '/email')}, '@', {other_host}, '.', substring_index({e}, '.', -1))"
     country = f"concat(regexp_extract({e}, {_quote('^[+][0-9]{1,3}(?=[ .(-])')}, 0), {_cipher(f'substr({e}, length(regexp_extract({e}, {_quote('^[+][0-9]{1,3}(?=[ .(-])')}, 0)) + 1)', CLASSES, key + '/phone')})"
-    octets = f"array_join(transform(split({e}, '[.]'), (o, k) -> cast(pmod(cast(o as bigint) + xxhash64({_quote(key)}, k, array_join(transform(split({e}, '[.]'), (x, j) -> CASE WHEN j < k THEN x ELSE '' END), '.')), 256L) as string)), '.')"
-    kind = kind_of(e)
-    body = f"CASE {kind} WHEN 'email' THEN {email} WHEN 'secret' THEN {_cipher(e, [HEX], key + '/secret')} WHEN 'ip' THEN {octets} WHEN 'phone' THEN {country} WHEN 'name' THEN {kept_end} ELSE concat({_cipher(e, CLASSES, key + '/digits')}) END"
+    octets = f"array_join(transform(split({e}, '[.]'), (o, k) -> cast(pmod(cast(o as bigint) + {_shift(key + '/ip', f"concat(k, '.', array_join(slice(split({e}, '[.]'), 1, k), '.'))", 256)}, 256L) as string)), '.')"
+    digits = _cipher(e, CLASSES, key + "/digits")
+    card = f"CASE WHEN luhn_check(regexp_replace({e}, '[^0-9]', '')) THEN transform(array({_cipher(f'substr({e}, 1, length({e}) - 1)', CLASSES, key + '/card')}), b -> concat(b, {_luhn('b')}))[0] ELSE {digits} END"
+    plain = f"replace({e}, ' ', '')"
+    check = f"lpad(cast(98 - {_remainder(f"concat(replace(b, ' ', ''), substr({e}, 1, 2), '00')")} as string), 2, '0')"
+    iban = f"CASE WHEN {_remainder(f'concat(substr({plain}, 5), substr({plain}, 1, 4))')} = 1 THEN transform(array({_cipher(f'substr({e}, 5)', CLASSES, key + '/iban')}), b -> concat(substr({e}, 1, 2), {check}, b))[0] ELSE concat(substr({e}, 1, 2), {_cipher(f'substr({e}, 3)', CLASSES, key + '/digits')}) END"
+    body = f"CASE {kind_of(e)} WHEN 'email' THEN {email} WHEN 'secret' THEN {_cipher(e, [HEX], key + '/secret')} WHEN 'ip' THEN {octets} WHEN 'phone' THEN {country} WHEN 'name' THEN {name} WHEN 'card' THEN {card} WHEN 'iban' THEN {iban} ELSE {digits} END"
     return f"transform(array({entity}), e -> {body})[0]"
 
 
+def _words(found: str) -> str:
+    """SQL: the words of the name ``found`` without its title."""
+    return f"split(regexp_replace({found}, {_quote(TITLE)}, ''), ' ')"
+
+
 def with_entities(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Adds ``_p_found``, the entities of each text in order; texts that cannot hold one skip the search."""
+    """Adds ``_p_found``, the entities of each text in order, and ``_p_any``, the pattern that finds them; texts that cannot hold one skip the search.
+
+    The words of titled names are looked for in the whole text.
+    """
     name = "`" + text.replace("`", "``") + "`"
-    return docs.withColumn("_p_found", F.expr(f"CASE WHEN {name} RLIKE '[0-9@]|[^ ]\\\\.? [\\\\p{{Lu}}]' THEN regexp_extract_all({name}, {_quote(ANY)}, 0) ELSE cast(array() AS array<string>) END"))
+    titled = docs.withColumn("_p_found", F.expr(f"CASE WHEN {name} RLIKE '[0-9@]|[^ ]\\\\.? [\\\\p{{Lu}}]' THEN regexp_extract_all({name}, {_quote(ANY)}, 0) ELSE cast(array() AS array<string>) END"))
+    titled = titled.withColumn("_p_names", F.expr(f"array_distinct(flatten(transform(filter(_p_found, x -> x RLIKE {_quote(TITLE)}), x -> {_words('x')})))"))
+    quoted = "array_join(transform(_p_names, w -> concat('\\\\Q', w, '\\\\E')), '|')"
+    letter = r"[\p{L}\p{N}]"
+    titled = titled.withColumn("_p_any", F.expr(f"CASE WHEN size(_p_names) > 0 THEN concat({_quote(ANY + '|(?<!' + letter + ')(?:')}, {quoted}, {_quote(')(?!' + letter + ')')}) ELSE {_quote(ANY)} END"))
+    return titled.withColumn("_p_found", F.expr(f"CASE WHEN size(_p_names) > 0 THEN regexp_extract_all({name}, _p_any, 0) ELSE _p_found END")).drop("_p_names")
+
+
+def units(found: str) -> str:
+    """SQL: the strings that get surrogates of their own for an entity: the words of a name, else itself."""
+    return f"CASE WHEN {kind_of(found)} = 'name' THEN {_words(found)} ELSE array({found}) END"
 
 
 def entities(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """(entity, kind, surrogate): the distinct entities of the corpus, each ciphered once."""
-    found = with_entities(docs.select(text), text).select(F.explode("_p_found").alias("entity")).distinct()
-    return found.select("entity", F.expr(kind_of("entity")).alias("kind"), F.expr(surrogate("entity", key)).alias("surrogate"))
+    """(entity, kind, surrogate): the distinct entities of the corpus (of names, words), each ciphered once."""
+    found = with_entities(docs.select(text), text).select(F.explode("_p_found").alias("found")).distinct()
+    single = found.select(F.explode(F.expr(units("found"))).alias("entity")).distinct()
+    return single.select("entity", F.expr(kind_of("entity")).alias("kind"), F.expr(surrogate("entity", key)).alias("surrogate"))
 
 
 def longer(text: str, times: int) -> str:
@@ -128,13 +179,15 @@ def longer(text: str, times: int) -> str:
 
 
 def collisions(table: DataFrame, key: str) -> DataFrame:
-    """(entity, surrogate) for entities whose plain surrogate is itself an entity of the corpus.
+    """(entity, surrogate) for entities whose plain surrogate is itself an entity of the corpus or another's surrogate.
 
-    In each round all that are left get a candidate, one-to-one; it counts if it is neither an entity
-    nor a surrogate. The candidates outgrow all entities and surrogates in the end, so none is left.
+    In each round all that are left get a candidate; it counts if it is neither an entity nor a surrogate.
+    The candidates outgrow all entities and surrogates in the end, so none is left.
     """
     taken = table.select(F.explode(F.array("entity", "surrogate")).alias("surrogate"))
-    open_ = cut(table.join(table.select(F.col("entity").alias("surrogate")), "surrogate", "left_semi").select("entity"))
+    twice = table.groupBy("surrogate").agg(F.min("entity").alias("first"), F.count("*").alias("n")).where("n > 1")
+    own = table.join(table.select(F.col("entity").alias("surrogate")), "surrogate", "left_semi").select("entity")
+    open_ = cut(own.unionByName(table.join(twice, "surrogate").where("entity <> first").select("entity")).distinct())
     done, times = table.select("entity", "surrogate").limit(0), 0
     while not open_.isEmpty():
         times += 1
@@ -143,7 +196,7 @@ def collisions(table: DataFrame, key: str) -> DataFrame:
         if times > KEYS:
             tried = tried.select("entity", F.expr(longer("surrogate", 1 << (times - KEYS - 1))).alias("surrogate"))
         tried = cut(tried)
-        fits = cut(tried.join(taken, "surrogate", "left_anti").select("entity", "surrogate"))
+        fits = cut(tried.join(taken, "surrogate", "left_anti").groupBy("surrogate").agg(F.min("entity").alias("entity")).select("entity", "surrogate"))
         done, taken = done.unionByName(fits), taken.unionByName(fits.select("surrogate"))
         open_ = cut(tried.join(fits, "entity", "left_anti").select("entity"))
     return done
@@ -156,20 +209,20 @@ def replace(docs: DataFrame, key: str, text: str = "text", doc_id: str = "doc_id
     texts are rewritten in place without a shuffle. Otherwise only documents that hold a colliding
     entity take part in a join.
     """
+    docs = docs.drop("n_entities")
     name = "`" + text.replace("`", "``") + "`"
     exceptions = cut(collisions(cut(entities(docs, key, text)), key))
     found = with_entities(docs, text)
 
-    def rewritten(df: DataFrame, plain: str) -> DataFrame:
-        new = f"CASE WHEN size(_p_found) = 0 OR _p_found IS NULL THEN {name} ELSE array_join(zip_with(split({name}, {_quote(ANY)}, -1), {plain}, (gap, s) -> concat(gap, coalesce(s, ''))), '') END"
+    def rewritten(df: DataFrame, unit: str) -> DataFrame:
+        """``unit`` is SQL for the surrogate of the unit u."""
+        plain = f"transform(_p_found, x -> concat(CASE WHEN {kind_of('x')} = 'name' THEN regexp_extract(x, {_quote(TITLE)}, 0) ELSE '' END, array_join(transform({units('x')}, u -> {unit}), ' ')))"
+        new = f"CASE WHEN size(_p_found) = 0 OR _p_found IS NULL THEN {name} ELSE array_join(zip_with(split({name}, _p_any, -1), {plain}, (gap, s) -> concat(gap, coalesce(s, ''))), '') END"
         return df.withColumn("_p_text", F.expr(new)).withColumn("n_entities", F.coalesce(F.greatest(F.size("_p_found"), F.lit(0)), F.lit(0)).cast("long")).withColumn(text, F.col("_p_text")).select(*docs.columns, "n_entities")
 
-    inline = f"transform(_p_found, x -> {surrogate('x', key)})"
     if exceptions.isEmpty():
-        return rewritten(found, inline)
-    hit = cut(found.select(doc_id, F.explode("_p_found").alias("entity")).distinct().join(exceptions, "entity").groupBy(doc_id).agg(F.map_from_entries(F.collect_list(F.struct("entity", "surrogate"))).alias("_p_map")))
+        return rewritten(found, surrogate("u", key))
+    hit = cut(found.select(doc_id, F.explode("_p_found").alias("found")).distinct().select(doc_id, F.explode(F.expr(units("found"))).alias("entity")).distinct().join(exceptions, "entity").groupBy(doc_id).agg(F.map_from_entries(F.collect_list(F.struct("entity", "surrogate"))).alias("_p_map")))
     some, none = hashed_semi(found, doc_id, hit, doc_id)
     changed = some.join(hit, doc_id, "left")
-    return rewritten(none, inline).unionByName(rewritten(changed, f"transform(_p_found, x -> coalesce(try_element_at(_p_map, x), {surrogate('x', key)}))"))
-
-
+    return rewritten(none, surrogate("u", key)).unionByName(rewritten(changed, f"coalesce(try_element_at(_p_map, u), {surrogate('u', key)})"))

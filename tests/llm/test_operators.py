@@ -362,13 +362,44 @@ def test_surrogate_collisions(spark):
 def test_surrogates_of_closed_cycles(spark):
     names = ["Mr Ōe", "Frau Øy", "Mr Արմեն", "Mr Ed", *(f"Dr {c}x" for c in "AEIOU"), *(f"Dr {c}y" for c in "BCDFGHJKLMNPQRSTVWXYZ"), "a@a.de"]
     table = surrogates.entities(spark.createDataFrame([(" , ".join(names),)], "text string"), "k").collect()
-    assert {r["entity"] for r in table} == set(names)
+    want = {n.split(" ")[-1] for n in names}
+    assert {r["entity"] for r in table} == want
     done = {r["entity"]: r["surrogate"] for r in surrogates.collisions(spark.createDataFrame(table), "k").collect()}
     final = [done.get(r["entity"], r["surrogate"]) for r in table]
-    assert len(set(final)) == len(final) and not set(final) & set(names)
+    assert len(set(final)) == len(final) and not set(final) & want
     assert "Արմե" not in " ".join(final)
 
 
+def replaced(spark, *texts):
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return [r["text"] for r in surrogates.replace(rows, "key").orderBy("doc_id").collect()]
+
+
+def test_surrogates_keep_mentions_together(spark):
+    one, other = replaced(spark, "Mr. John Smith met Mr. Smith. Later John Smith left; Smith paid. Smithson stayed.", "Mrs Anna Smith wrote. Smith and John.")
+    full = re.match(r"Mr\. (\w+) (\w+) met Mr\. (\w+)\. Later (\w+) (\w+) left; (\w+) paid\. Smithson stayed\.$", one)
+    first, last, *rest = full.groups()
+    assert rest == [last, first, last, last] and "John" not in one and not {first, last} & {"John", "Smith"}
+    assert re.match(rf"Mrs (\w+a) {last} wrote\. {last} and John\.$", other) and "Anna" not in other
+    assert first[0].isupper() and first[1:].islower()
+
+
+def test_surrogates_keep_check_digits(spark):
+    def valid(number):
+        digits = [int(c) for c in number if c.isdigit()][::-1]
+        return sum(sum(divmod(d * (1 + i % 2), 10)) for i, d in enumerate(digits)) % 10 == 0
+
+    def remainder(iban):
+        raw = iban.replace(" ", "")
+        return int("".join(str(int(c, 36)) for c in raw[4:] + raw[:4])) % 97
+
+    card, wrong, iban, mail = replaced(spark, "4111 1111 1111 1111", "4111 1111 1111 1112", "GB82 WEST 1234 5698 7654 32", "a@b.com")
+    assert card != "4111 1111 1111 1111" and valid(card) and re.fullmatch(r"(\d{4} ){3}\d{4}", card)
+    assert wrong != "4111 1111 1111 1112" and re.fullmatch(r"(\d{4} ){3}\d{4}", wrong)
+    assert iban != "GB82 WEST 1234 5698 7654 32" and remainder(iban) == 1 and re.fullmatch(r"GB\d\d [A-Z]{4}( \d{4}){3} \d\d", iban)
+    assert mail.split("@")[1] != "b.com" and mail.endswith(".com")
+
+
 def test_cover_tree(spark):
     random = np.random.default_rng(4)
     v = random.normal(size=(300, 8))
