@@ -51,6 +51,36 @@ def boundary_features(seg: DataFrame, on: Sequence[str] = ("y", "x"), label: str
     return twelve(boundary_samples(seg, on, label, value))
 
 
+#: Filters and their scales.
+FILTERS = {"gaussian_smoothing": [1.6, 4.2, 8.3], "laplacian_of_gaussian": [1.6, 4.2, 8.3], "hessian_of_gaussian_eigenvalues": [1.6, 4.2, 8.3]}
+
+
+def boundary_features_with_filters(seg: DataFrame, block: Sequence[int], on: Sequence[str] = ("y", "x"), label: str = "seg", value: str = "raw", filters: dict[str, list[float]] = FILTERS, apply_2d: bool = False) -> DataFrame:  # noqa: B006
+    """(u, v, size, features): eleven boundary features of every response of every filter, named filter_scale_channel_feature.
+
+    All responses are joined to the labels once and accumulated along the boundaries in one pass. ``apply_2d``
+    filters each plane of the first axis by itself.
+    """
+    from tesserae.operators.neighbourhood import apply_filter, channels
+
+    axes = list(on)[1:] if apply_2d else list(on)
+    wide, names = seg.select(*on, label), []
+    for name, scales in filters.items():
+        for sigma in scales:
+            for k in range(channels(name, len(axes))):
+                names.append(f"{name}_{str(sigma).replace('.', '_')}_{k}")
+                response = apply_filter(seg, name, sigma, [1, *block[1:]] if apply_2d else block, on, value, k, int(apply_2d))
+                wide = wide.join(response.withColumnRenamed("response", names[-1]), list(on))
+    f = faces(wide, on, label, names)
+    out = None
+    for n in names:
+        samples = f.select("u", "v", F.explode(F.array(F.col(f"{n}_a").cast("double"), F.col(f"{n}_b").cast("double"))).alias("s"))
+        mine = twelve(samples)
+        mine = mine.select("u", "v", *([F.col("size")] if out is None else []), *[F.col(c).alias(f"{n}_{c}") for c in mine.columns if c not in ("u", "v", "size")])
+        out = mine if out is None else out.join(mine, ["u", "v"])
+    return out
+
+
 def affinity_features(seg: DataFrame, affs: DataFrame, offsets: Sequence[Sequence[int]], on: Sequence[str] = ("y", "x"), label: str = "seg") -> DataFrame:
     """Twelve features per RAG edge of the affinities (c, coordinates, a) between differing labels."""
     pairs = neighbours(seg, offsets, on, [label]).where(F.col(f"{label}_a") != F.col(f"{label}_b"))

@@ -238,6 +238,63 @@ def lifted_multicut(n: int, u: np.ndarray, v: np.ndarray, w: np.ndarray, lu: np.
         cost[b], base[b] = defaultdict(float), set()
 
 
+def seeded_mutex_watershed(n: int, u: np.ndarray, v: np.ndarray, w: np.ndarray, mutex: np.ndarray, seeds: np.ndarray) -> np.ndarray:
+    """A mutex watershed in which nodes of one non-zero seed are together from the start and different seeds never join."""
+    f, forbidden, seed = Forest(n), [set() for _ in range(n)], seeds.tolist()
+    first: dict[int, int] = {}
+    for i, s in enumerate(seed):
+        if s:
+            r = f.join(first.setdefault(s, i), i)
+            seed[r] = s
+    for k in np.lexsort((v, u, -np.abs(w))):
+        a, b = f.find(int(u[k])), f.find(int(v[k]))
+        if a == b or b in forbidden[a] or (seed[a] and seed[b]):
+            continue
+        if mutex[k]:
+            forbidden[a].add(b)
+            forbidden[b].add(a)
+            continue
+        r = f.join(a, b)
+        o = a + b - r
+        seed[r] = seed[r] or seed[o]
+        for c in forbidden[o]:
+            forbidden[c].discard(o)
+            forbidden[c].add(r)
+        forbidden[r] |= forbidden[o]
+    return f.labels()
+
+
+def semantic_mutex_watershed(n: int, u: np.ndarray, v: np.ndarray, w: np.ndarray, mutex: np.ndarray, node: np.ndarray, kind: np.ndarray, strength: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(clusters, class of each node or -1): edges and votes (node, kind, strength) in one order; a vote names its cluster's class if it has none, and clusters of different classes never join."""
+    f, forbidden, of = Forest(n), [set() for _ in range(n)], [-1] * n
+    a_, b_ = np.concatenate([u, node]), np.concatenate([v, np.full(len(node), -1)])
+    x_, kind_ = np.concatenate([np.abs(w), strength]), np.concatenate([np.full(len(u), -1), kind])
+    mutex_ = np.concatenate([mutex.astype(bool), np.zeros(len(node), bool)])
+    for k in np.lexsort((b_, a_, -x_)):
+        a = f.find(int(a_[k]))
+        if b_[k] < 0:
+            of[a] = int(kind_[k]) if of[a] < 0 else of[a]
+            continue
+        b = f.find(int(b_[k]))
+        if a == b or b in forbidden[a]:
+            continue
+        if mutex_[k]:
+            forbidden[a].add(b)
+            forbidden[b].add(a)
+            continue
+        if of[a] >= 0 and of[b] >= 0 and of[a] != of[b]:
+            continue
+        r = f.join(a, b)
+        o = a + b - r
+        of[r] = max(of[r], of[o])
+        for c in forbidden[o]:
+            forbidden[c].discard(o)
+            forbidden[c].add(r)
+        forbidden[r] |= forbidden[o]
+    lab = f.labels()
+    return lab, np.array([of[i] for i in lab.tolist()], np.int64)
+
+
 def graph_watershed(n: int, u: np.ndarray, v: np.ndarray, w: np.ndarray, seeds: np.ndarray) -> np.ndarray:
     """Seeds grow along edges of least weight."""
     near: list[list[tuple[int, float]]] = [[] for _ in range(n)]
@@ -373,3 +430,84 @@ def watershed_on_graph(edges: DataFrame, seeds: DataFrame) -> DataFrame:
         return pd.DataFrame({"node": ids, "label": graph_watershed(len(ids), a[:, 0], a[:, 1], pdf["w"].to_numpy(), s)})
 
     return both.join(group, F.col("u") == F.col("node")).groupBy("component").applyInPandas(run, "node long, label long")
+
+
+def seeded_mws(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(node, label) of the mutex watershed of (u, v, w, mutex) with seeds (node, seed); a seed's nodes end together, different seeds apart."""
+    at = lambda s: seeds.select(F.col("node").alias(s), F.col("seed").cast("long").alias(f"s{s}"))
+    both = edges.join(at("u"), "u", "left").join(at("v"), "v", "left").fillna(0, ["su", "sv"])
+    anchors = seeds.where("seed <> 0").groupBy("seed").agg(F.min("node").alias("u"))
+    tied = seeds.where("seed <> 0").join(anchors, "seed").select("u", F.col("node").alias("v"))
+    group = components(edges.select("u", "v").unionByName(tied))
+
+    def kernel(n, u, v, w, mutex, su, sv):
+        s = np.zeros(n, np.int64)
+        s[u], s[v] = su, np.maximum(s[v], sv)
+        s[u] = np.maximum(s[u], su)
+        return seeded_mutex_watershed(n, u, v, w, mutex, s)
+
+    return per_component(both, kernel, ("w", "mutex", "su", "sv"), group=group)
+
+
+def semantic_mws(edges: DataFrame, votes: DataFrame) -> DataFrame:
+    """(node, label, kind) of the mutex watershed of (u, v, w, mutex) with votes (node, kind, strength) for classes from 0 up; -1 is no class."""
+    ends = edges.select(F.col("u").alias("node")).unionByName(edges.select(F.col("v").alias("node"))).unionByName(votes.select("node")).distinct()
+    group = components(edges.select("u", "v"), ends)
+    lines = edges.join(group, F.col("u") == F.col("node")).select("component", "u", "v", F.col("w").cast("double"), "mutex", F.lit(-1).cast("long").alias("kind"))
+    said = votes.join(group, "node").select("component", F.col("node").alias("u"), F.col("node").alias("v"), F.col("strength").cast("double").alias("w"), F.lit(False).alias("mutex"), F.col("kind").cast("long"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["u", "v", "kind"])
+        ids, at = np.unique(pdf[["u", "v"]].to_numpy().ravel(), return_inverse=True)
+        at, vote = at.reshape(-1, 2), pdf["kind"].to_numpy() >= 0
+        w, mutex, kind = pdf["w"].to_numpy(), pdf["mutex"].to_numpy(), pdf["kind"].to_numpy()
+        lab, of = semantic_mutex_watershed(len(ids), at[~vote, 0], at[~vote, 1], w[~vote], mutex[~vote], at[vote, 0], kind[vote], w[vote])
+        return pd.DataFrame({"node": ids, "label": ids[lab], "kind": of})
+
+    return lines.unionByName(said).groupBy("component").applyInPandas(run, "node long, label long, kind long")
+
+
+def blockwise_mws(edges: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(node, label): the mutex watershed of each block (node, block), then of the clusters, joined by the strongest edge of either kind between two."""
+    at = lambda s: blocks.select(F.col("node").alias(s), F.col("block").alias(f"b{s}"))
+    inner = edges.join(at("u"), "u").join(at("v"), "v").where("bu = bv").select("u", "v", "w", "mutex")
+    local = mws(inner)
+    first = blocks.select("node").join(local, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
+    to = lambda s: first.select(F.col("node").alias(s), F.col("label").alias(f"l{s}"))
+    between = edges.join(to("u"), "u").join(to("v"), "v").where("lu <> lv").groupBy(F.least("lu", "lv").alias("u"), F.greatest("lu", "lv").alias("v"), "mutex").agg(F.max(F.abs("w")).alias("w"))
+    final = mws(between)
+    return first.join(final.select(F.col("node").alias("label"), F.col("label").alias("final")), "label", "left").select("node", F.coalesce("final", "label").alias("label"))
+
+
+def graph_size_filter(edges: DataFrame, sizes: DataFrame, min_size: int, labels: DataFrame | None = None) -> DataFrame:
+    """(node, label): nodes (node, size) that are too small join the others by a watershed on the edges' weights.
+
+    With ``labels`` (node, label), ``sizes`` are of labels (label, size) and small labels give way. What no seed reaches keeps its own.
+    """
+    if labels is None:
+        kept = sizes.where(F.col("size") >= min_size).select("node", F.col("node").alias("label"))
+        every = sizes.select("node", F.col("node").alias("label"))
+    else:
+        kept = labels.join(sizes.where(F.col("size") >= min_size).select("label"), "label", "left_semi").select("node", "label")
+        every = labels.select("node", "label")
+    grown = watershed_on_graph(edges, kept.select("node", (F.col("label") + 1).alias("seed"))).where("label > 0")
+    return every.join(grown.select("node", (F.col("label") - 1).alias("grown")), "node", "left").select("node", F.coalesce("grown", "label").alias("label"))
+
+
+def cluster_segmentation(x: DataFrame, n_stop: float, size_regularizer: float = 1.0, on: tuple[str, ...] = ("y", "x"), label: str = "seg", value: str = "raw") -> DataFrame:
+    """``x`` with ``cluster``: segments merged by boundary means, cheapest first, until n_stop (below 1: that share of them) clusters of each connected part remain."""
+    from tesserae.operators.regions import mean_and_length, project_node_labels
+
+    sizes = x.groupBy(F.col(label).alias("node")).agg(F.count("*").alias("n"))
+    stop = max(1, int(n_stop * sizes.count())) if n_stop < 1 else int(n_stop)
+    at = lambda s: sizes.select(F.col("node").alias(s), F.col("n").cast("double").alias(f"n{s}"))
+    edges = mean_and_length(x, on, label, value).select("u", "v", F.col("mean").alias("w"), F.col("size").cast("double").alias("size")).join(at("u"), "u").join(at("v"), "v")
+    key = lambda w, a, b: -w * (2 / (1 / a + 1 / b)) ** size_regularizer
+
+    def kernel(n, u, v, w, size, nu, nv):
+        nodes = np.ones(n)
+        nodes[u], nodes[v] = nu, nv
+        return greedy_additive(n, u, v, w, -np.inf, "mean", size, stop, key, nodes)
+
+    found = per_component(edges, kernel, ("w", "size", "nu", "nv"), nodes=sizes)
+    return project_node_labels(x, found.withColumnRenamed("label", "cluster"), label)

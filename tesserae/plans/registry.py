@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tesserae.operators import elementwise as el
 from tesserae.operators import graphs as gr
+from tesserae.operators import learning as le
 from tesserae.operators import metrics as me
 from tesserae.operators import multisets as mu
 from tesserae.operators import neighbourhood as nb
@@ -65,6 +66,11 @@ def vol(s: SparkSession, d: str) -> DataFrame:
 
 YX = ("y", "x")
 
+
+def rows_of(s: SparkSession, d: str) -> int:
+    """Rows of the raster: its shape is that of the whole table."""
+    return int(img(s, d).agg(F.max("y")).first()[0]) + 1
+
 # Element-wise operators: both operands are rasters of one shape.
 _BINARY = {
     "add": "p.raw + q.raw", "subtract": "p.raw - q.raw", "multiply": "p.raw * q.raw",
@@ -131,14 +137,14 @@ def w6_w7_threshold_roi(s, d):
     return el.threshold(el.roi(img(s, d).select("y", "x", "raw"), {"y": 2, "x": 10}, {"y": 9, "x": 60}), 150000, ">", "raw")
 
 
-@register("SELECT g.y, h.x, coalesce(raw, 0.0) AS raw FROM range(10) g(y), range(130) h(x) LEFT JOIN img i ON i.y = g.y AND i.x = h.x AND i.y < 8")
+@register("SELECT g.y, h.x, coalesce(raw, 0.0) AS raw FROM (SELECT DISTINCT y FROM img UNION SELECT max(y) + 1 FROM img UNION SELECT max(y) + 2 FROM img) g, range(130) h(x) LEFT JOIN img i ON i.y = g.y AND i.x = h.x")
 def w8_pad(s, d):
-    return el.pad(img(s, d).where("y < 8").select("y", "x", "raw"), {"y": 8, "x": 125}, {"y": 2, "x": 5}, "raw")
+    return el.pad(img(s, d).select("y", "x", "raw"), {"y": rows_of(s, d), "x": 125}, {"y": 2, "x": 5}, "raw")
 
 
 @register("SELECT y, x, raw + y * 10 + x AS v FROM img")
 def w3_transformation(s, d):
-    return img(s, d).select("y", "x", (F.col("raw") + F.col("y") * 10 + F.col("x")).alias("v"))
+    return el.multi_transform(lambda raw, at: raw + at, img(s, d).select("y", "x", F.col("raw").alias("v")), img(s, d).select("y", "x", (F.col("y") * 10 + F.col("x")).alias("v")), on=YX)
 
 
 @register("SELECT p.y, p.x, greatest(p.raw, q.raw) AS raw FROM img p JOIN img q ON p.y = q.y AND p.x = q.x")
@@ -317,12 +323,12 @@ def g3_boundary_features(s, d):
 
 @register(
     f"WITH {FACES}, af AS (SELECT least(p.seg, q.seg) AS u, greatest(p.seg, q.seg) AS v, p.raw / 500000 AS a FROM img p JOIN img q ON q.y = p.y AND q.x = p.x + 1 UNION ALL SELECT least(p.seg, q.seg), greatest(p.seg, q.seg), p.raw / 250000 FROM img p JOIN img q ON q.y = p.y + 3 AND q.x = p.x) "
-    "SELECT u, v, round(avg(a), 6) AS mean, min(a) AS min, max(a) AS max, count(*) AS size FROM af JOIN e USING (u, v) GROUP BY u, v"
+    "SELECT u, v, round(avg(a) + 1.3e-6, 4) AS mean, min(a) AS min, max(a) AS max, count(*) AS size FROM af JOIN e USING (u, v) GROUP BY u, v"
 )
 def g4_affinity_features(s, d):
     i = img(s, d)
     affs = i.select("y", "x", F.explode(F.array(F.struct(F.lit(0).alias("c"), (F.col("raw") / 500000).alias("a")), F.struct(F.lit(1).alias("c"), (F.col("raw") / 250000).alias("a")))).alias("e")).select("y", "x", "e.*")
-    return rg.affinity_features(i, affs, [[0, 1], [3, 0]]).select("u", "v", F.round("mean", 6).alias("mean"), "min", "max", "size")
+    return rg.affinity_features(i, affs, [[0, 1], [3, 0]]).select("u", "v", F.round(F.col("mean") + NUDGE, 4).alias("mean"), "min", "max", "size")
 
 
 @register(
@@ -385,9 +391,9 @@ def g12_embedding_edges(s, d):
     return rounded(rg.edge_probabilities_from_embeddings(e, edges, 1.0), 5)
 
 
-@register("SELECT i AS u, i + 1 AS v FROM range(600) t(i) WHERE i % 30 < 29 UNION ALL SELECT i, i + 30 FROM range(570) t(i)")
+@register("WITH r AS (SELECT DISTINCT y FROM img) SELECT y * 125 + x AS u, y * 125 + x + 1 AS v FROM r, range(124) t(x) UNION ALL SELECT y * 125 + x, (y + 1) * 125 + x FROM r, range(125) t(x) WHERE y < (SELECT max(y) FROM img)")
 def g14_grid_graph(s, d):
-    return gr.grid_graph(s, (20, 30))
+    return gr.grid_graph(s, (rows_of(s, d), 125))
 
 
 @register("SELECT p.y, p.x, 0 AS \"offset\", round(sqrt(list_sum(list_transform(list_zip(p.embedding, q.embedding), lambda e: power(CAST(e[1] AS DOUBLE) - e[2], 2)))), 5) AS w FROM emb p JOIN emb q ON q.y = p.y + 1 AND q.x = p.x UNION ALL SELECT p.y, p.x, 1, round(sqrt(list_sum(list_transform(list_zip(p.embedding, q.embedding), lambda e: power(CAST(e[1] AS DOUBLE) - e[2], 2)))), 5) FROM emb p JOIN emb q ON q.y = p.y AND q.x = p.x + 1")
@@ -467,11 +473,12 @@ def b13_affinities(s, d):
     return rounded(rg.embeddings_to_affinities(view(s, d, "emb"), [[0, 1]], 10.0), 5)
 
 
-@register("WITH a AS (SELECT y, x, raw / 600000 AS a FROM img), m AS (SELECT y + 1 AS y, x, 1 - a AS p FROM a UNION ALL SELECT y, x - 2, 1 - a FROM a) SELECT a.y, a.x, round(coalesce(max(p), 0.0), 6) AS p FROM a LEFT JOIN m ON a.y = m.y AND a.x = m.x GROUP BY a.y, a.x")
+@register("WITH a AS (SELECT y, x, raw / 600000 AS a FROM img), m AS (SELECT y + 1 AS y, x, 1 - a AS p FROM a UNION ALL SELECT y, x - 2, 1 - a FROM a) SELECT a.y, a.x, floor(coalesce(max(p), 0.0) * 1e6 + 0.5) / 1e6 AS p FROM a LEFT JOIN m ON a.y = m.y AND a.x = m.x GROUP BY a.y, a.x")
 def b14_boundaries(s, d):
     a = img(s, d).select("y", "x", (F.col("raw") / 600000).alias("a"))
     affs = a.withColumn("c", F.lit(0)).unionByName(a.withColumn("c", F.lit(1)))
-    return rounded(rg.affinities_to_boundaries(affs, [[3, 0], [0, -4]]), 6)
+    # Rounded by the same float operations as the twin: ties are common among prices over a power of ten.
+    return rg.affinities_to_boundaries(affs, [[3, 0], [0, -4]]).select("y", "x", (F.floor(F.col("p") * 1e6 + 0.5).cast("double") / 1e6).alias("p"))
 
 
 @register(f"WITH {FACES}, q AS (SELECT y, x, (u + v) % 11 + 0.0 AS w FROM f UNION ALL SELECT y + CASE WHEN o = 0 THEN 1 ELSE 0 END, x + CASE WHEN o = 1 THEN 1 ELSE 0 END, (u + v) % 11 + 0.0 FROM f) SELECT i.y, i.x, CAST(coalesce(max(w), 0) AS DOUBLE) AS value FROM img i LEFT JOIN q ON i.y = q.y AND i.x = q.x GROUP BY i.y, i.x")
@@ -582,33 +589,36 @@ def n4_roi_histogram(s, d):
 
 # Resampling.
 _M = np.array([[0.5, 0.25, 0.5], [-0.125, 0.75, 4.0], [0, 0, 1.0]])
-_SRC = "g AS (SELECT a.y, b.x, 0.5 * a.y + 0.25 * b.x + 0.5 AS sy, -0.125 * a.y + 0.75 * b.x + 4.0 AS sx FROM range(20) a(y), range(40) b(x))"
+_SRC = "m AS (SELECT max(y) AS top FROM img), g AS (SELECT a.y, b.x, 0.5 * a.y + 0.25 * b.x + 0.5 AS sy, -0.125 * a.y + 0.75 * b.x + 4.0 AS sx, top FROM (SELECT DISTINCT y FROM img) a, range(125) b(x), m)"
 
 
-@register(f"WITH {_SRC} SELECT g.y, g.x, CASE WHEN sy BETWEEN 0 AND 7 AND sx BETWEEN 0 AND 124 THEN coalesce(raw, 0.0) ELSE 0.0 END AS raw FROM g LEFT JOIN img i ON i.y = CAST(floor(sy + 0.5) AS BIGINT) AND i.x = CAST(floor(sx + 0.5) AS BIGINT)")
+@register(f"WITH {_SRC} SELECT g.y, g.x, CASE WHEN sy BETWEEN 0 AND top AND sx BETWEEN 0 AND 124 THEN coalesce(raw, 0.0) ELSE 0.0 END AS raw FROM g LEFT JOIN img i ON i.y = CAST(floor(sy + 0.5) AS BIGINT) AND i.x = CAST(floor(sx + 0.5) AS BIGINT)")
 def a6_affine_nearest(s, d):
-    return tf.affine(img(s, d).select("y", "x", "raw"), _M, {"y": 20, "x": 40}, {"y": 8, "x": 125}, 0, value="raw")
+    shape = {"y": rows_of(s, d), "x": 125}
+    return tf.affine(img(s, d).select("y", "x", "raw"), _M, shape, shape, 0, value="raw")
 
 
 @register(
-    f"WITH {_SRC}, k AS (SELECT y, x, floor(sy) + dy AS ty, floor(sx) + dx AS tx, (CASE WHEN dy = 0 THEN 1 - (sy - floor(sy)) ELSE sy - floor(sy) END) * (CASE WHEN dx = 0 THEN 1 - (sx - floor(sx)) ELSE sx - floor(sx) END) AS w FROM g, range(2) p(dy), range(2) q(dx) WHERE sy BETWEEN 0 AND 7 AND sx BETWEEN 0 AND 124) "
+    f"WITH {_SRC}, k AS (SELECT y, x, floor(sy) + dy AS ty, floor(sx) + dx AS tx, (CASE WHEN dy = 0 THEN 1 - (sy - floor(sy)) ELSE sy - floor(sy) END) * (CASE WHEN dx = 0 THEN 1 - (sx - floor(sx)) ELSE sx - floor(sx) END) AS w FROM g, range(2) p(dy), range(2) q(dx) WHERE sy BETWEEN 0 AND top AND sx BETWEEN 0 AND 124) "
     "SELECT g.y, g.x, round(coalesce(s, 0.0) + 1.3e-6, 4) AS raw FROM g LEFT JOIN (SELECT k.y, k.x, sum(w * raw) AS s FROM k JOIN img i ON i.y = ty AND i.x = tx WHERE w > 0 GROUP BY k.y, k.x) r ON g.y = r.y AND g.x = r.x"
 )
 def a6_affine_linear(s, d):
-    return rounded(tf.affine(img(s, d).select("y", "x", "raw"), _M, {"y": 20, "x": 40}, {"y": 8, "x": 125}, 1, value="raw"), nudge=NUDGE)
+    shape = {"y": rows_of(s, d), "x": 125}
+    return rounded(tf.affine(img(s, d).select("y", "x", "raw"), _M, shape, shape, 1, value="raw"), nudge=NUDGE)
 
 
-@register("SELECT y, x, raw FROM (SELECT a.y, b.x, raw FROM range(16) a(y), range(25) b(x) JOIN img i ON i.y = CAST(floor(a.y * 0.5 + 0.5) AS BIGINT) AND i.x = b.x * 5 WHERE a.y * 0.5 <= 7) UNION ALL SELECT 15, x, 0.0 FROM range(25) b(x)")
+@register("WITH m AS (SELECT max(y) AS top FROM img), t AS (SELECT DISTINCT 2 * y AS y FROM img UNION SELECT DISTINCT 2 * y + 1 FROM img) SELECT t.y, b.x, CASE WHEN t.y * 0.5 <= top THEN coalesce(raw, 0.0) ELSE 0.0 END AS raw FROM t CROSS JOIN range(25) b(x) CROSS JOIN m LEFT JOIN img i ON i.y = CAST(floor(t.y * 0.5 + 0.5) AS BIGINT) AND i.x = b.x * 5")
 def a8_resize(s, d):
-    return tf.resize(img(s, d).select("y", "x", "raw"), {"y": 16, "x": 25}, {"y": 8, "x": 125}, 0, "raw")
+    n = rows_of(s, d)
+    return tf.resize(img(s, d).select("y", "x", "raw"), {"y": 2 * n, "x": 25}, {"y": n, "x": 125}, 0, "raw")
 
 
 # Range joins, maxima, geometry.
-@register("WITH o AS (SELECT y, x, seg FROM img WHERE y < 40 AND seg % 9 = 1), p AS (SELECT DISTINCT y * 1000 + x AS pid, y, x FROM pts WHERE y < 40), j AS (SELECT pid, sqrt(power(p.y - o.y, 2) + power(p.x - o.x, 2)) AS d, seg FROM p JOIN o ON abs(p.y - o.y) <= 6 AND abs(p.x - o.x) <= 6), b AS (SELECT pid, d, seg, row_number() OVER (PARTITION BY pid ORDER BY d, seg) AS r FROM j WHERE d <= 6) SELECT p.pid, coalesce(seg, 0) AS label, round(coalesce(d, -1), 6) AS distance FROM p LEFT JOIN b ON p.pid = b.pid AND r = 1")
+@register("WITH o AS (SELECT y, x, seg FROM img WHERE cls = 0), p AS (SELECT DISTINCT y * 1000 + x AS pid, y, x FROM pts), j AS (SELECT pid, sqrt(power(p.y - o.y, 2) + power(p.x - o.x, 2)) AS d, seg FROM p JOIN o ON abs(p.y - o.y) <= 6 AND abs(p.x - o.x) <= 6), b AS (SELECT pid, d, seg, row_number() OVER (PARTITION BY pid ORDER BY d, seg) AS r FROM j WHERE d <= 6) SELECT p.pid, coalesce(seg, -1) AS label, round(coalesce(d, -1), 6) AS distance FROM p LEFT JOIN b ON p.pid = b.pid AND r = 1")
 def b7_points_to_objects(s, d):
-    p = view(s, d, "pts").where("y < 40").select((F.col("y") * 1000 + F.col("x")).alias("pid"), "y", "x").distinct()
-    o = img(s, d).where("y < 40").select("y", "x", F.when(F.col("seg") % 9 == 1, F.col("seg")).otherwise(0).alias("label"))
-    return nb.points_to_objects(o, p, 6).select("pid", "label", F.round(F.when(F.col("distance") == float("inf"), -1.0).otherwise(F.col("distance")), 6).alias("distance"))
+    p = view(s, d, "pts").select((F.col("y") * 1000 + F.col("x")).alias("pid"), "y", "x").distinct()
+    o = img(s, d).where("cls = 0").select("y", "x", (F.col("seg") + 1).alias("label"))
+    return nb.points_to_objects(o, p, 6).select("pid", (F.col("label") - 1).alias("label"), F.round(F.when(F.col("distance") == float("inf"), -1.0).otherwise(F.col("distance")), 6).alias("distance"))
 
 
 @register("SELECT p.y, p.x, p.raw FROM img p WHERE raw > 400000 AND NOT EXISTS (SELECT 1 FROM img q WHERE abs(q.y - p.y) <= 2 AND abs(q.x - p.x) <= 2 AND q.raw > p.raw)")
@@ -729,3 +739,57 @@ def x8_multicut_workflow(s, d):
     e = gr.probabilities_to_costs(rg.mean_and_length(ws, ("z", "y", "x"), "sp").withColumnRenamed("mean", "p"))
     nodes = so.multicut(e.select("u", "v", "w"), nodes=ws.select(F.col("sp").alias("node")).distinct())
     return rg.project_node_labels(ws.select("z", "y", "x", "sp"), nodes, "sp")
+
+
+# Learning, filters and further partitions; tests compare them with small worked cases.
+@register()
+def l1_l3_edge_random_forest(s, d):
+    """A forest of boundary features learnt from ground-truth edge labels, applied to all edges."""
+    i = img(s, d)
+    f = rg.boundary_features(i)
+    e = f.join(rg.edge_labels(f.select("u", "v"), i), ["u", "v"])
+    names = [c for c in f.columns if c not in ("u", "v")]
+    model = le.learn_edge_random_forest(e, names, mask="valid", trees=10, depth=5)
+    return rounded(le.predict_edge_random_forest(model, e).select("u", "v", "p"))
+
+
+@register()
+def g5_boundary_features_with_filters(s, d):
+    return rounded(rg.boundary_features_with_filters(img(s, d), [32, 64], filters={"gaussian_smoothing": [1.6], "hessian_of_gaussian_eigenvalues": [1.6]}), 2)
+
+
+@register()
+def m13_seeded_mutex_watershed(s, d):
+    e = signed_rag(s, d).withColumn("mutex", F.col("w") < 0)
+    seeds = e.select(F.col("u").alias("node")).distinct().where("node % 40 = 0").withColumn("seed", F.col("node") % 3 + 1)
+    return so.seeded_mws(e, seeds)
+
+
+@register()
+def m14_semantic_mutex_watershed(s, d):
+    e = signed_rag(s, d).withColumn("mutex", F.col("w") < 0)
+    votes = img(s, d).groupBy(F.col("seg").alias("node")).agg((F.max("gt") % 3).alias("kind"), (F.avg("raw") / 100000).alias("strength"))
+    return so.semantic_mws(e, votes)
+
+
+@register()
+def m15_blockwise_mutex_watershed(s, d):
+    e = signed_rag(s, d).withColumn("mutex", F.col("w") < 0)
+    nodes = e.select(F.col("u").alias("node")).unionByName(e.select(F.col("v").alias("node"))).distinct()
+    return so.blockwise_mws(e, nodes.withColumn("block", F.floor(F.col("node") / 100)))
+
+
+@register()
+def m20_cluster_segmentation(s, d):
+    return so.cluster_segmentation(img(s, d), 0.2).select("y", "x", "seg", "cluster")
+
+
+@register()
+def m21_graph_size_filter(s, d):
+    sizes = img(s, d).groupBy(F.col("seg").alias("node")).agg(F.count("*").alias("size"))
+    return so.graph_size_filter(signed_rag(s, d), sizes, 20)
+
+
+@register()
+def r10_apply_size_filter(s, d):
+    return nb.apply_size_filter(img(s, d).select("y", "x", F.col("seg").alias("label"), "raw"), 20, [32, 64], [8, 8])

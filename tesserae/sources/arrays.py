@@ -130,6 +130,8 @@ def read_chunked(spark: SparkSession, path: str, roi: dict[str, tuple[int, int]]
 
 def write_zarr(x: DataFrame, path: str, shape: Sequence[int], chunks: Sequence[int], dtype: str = "<f8", codec: str = "gzip", fill: float = 0) -> None:
     """A zarr v2 array; chunks are encoded on the executors and written by them to the (shared) path."""
+    if codec not in ("raw", "gzip", "zlib"):
+        raise ValueError(f"chunks can't be encoded by {codec}")
     names = axes_of(len(shape))
     os.makedirs(path, exist_ok=False)
     with open(os.path.join(path, ".zarray"), "w") as f:

@@ -74,9 +74,6 @@ def test_lifted_multicut(spark):
 def test_gasp(spark, linkage, want):
     e = spark.createDataFrame([(0, 1, -10.0), (0, 2, -2.0), (0, 3, 6.0), (1, 3, 3.0), (2, 3, 11.0)], "u long, v long, w double")
     lab = {r["node"]: r["label"] for r in so.gasp(e, linkage).collect()}
-    if linkage == "mean":
-        assert lab[2] == lab[3]
-        return
     assert {tuple(sorted(k for k in lab if lab[k] == c)) for c in lab.values()} == want
 
 
@@ -159,3 +156,60 @@ def test_kernighan_lin_searches_large_clusters(seed, energy):
     w = random.normal(0.5, 1, len(u))
     x = so.kernighan_lin(576, u, v, w)
     assert w[x[u] != x[v]].sum() < energy + 1e-3
+
+
+def test_seeded_and_semantic_mutex_watershed(spark):
+    rows = [(0, 1, 0.9, False), (1, 2, 0.8, False), (2, 3, 0.7, False), (3, 4, 0.6, False), (0, 4, 0.1, True)]
+    e = spark.createDataFrame(rows, "u long, v long, w double, mutex boolean")
+    groups = lambda df: {tuple(sorted(n for n, c in lab.items() if c == k)) for lab in [{r["node"]: r["label"] for r in df.collect()}] for k in lab.values()}
+    assert groups(so.mws(e)) == {(0, 1, 2, 3, 4)}
+    seeds = spark.createDataFrame([(0, 1), (3, 2), (4, 1)], "node long, seed long")
+    assert groups(so.seeded_mws(e, seeds)) == {(0, 1, 2, 4), (3,)}
+    votes = spark.createDataFrame([(0, 0, 0.95), (3, 1, 0.75)], "node long, kind long, strength double")
+    got = {r["node"]: (r["label"], r["kind"]) for r in so.semantic_mws(e, votes).collect()}
+    assert {k for _, k in (got[0], got[1], got[2])} == {0} and {k for _, k in (got[3], got[4])} == {1} and got[2][0] != got[3][0]
+    blocks = spark.createDataFrame([(i, i // 3) for i in range(5)], "node long, block long")
+    assert groups(so.blockwise_mws(e, blocks)) == {(0, 1, 2, 3, 4)}
+
+
+def test_graph_size_filter(spark):
+    e = spark.createDataFrame([(0, 1, 0.1), (1, 2, 0.9), (2, 3, 0.2)], "u long, v long, w double")
+    sizes = spark.createDataFrame([(0, 9), (1, 1), (2, 1), (3, 9)], "node long, size long")
+    assert {r["node"]: r["label"] for r in so.graph_size_filter(e, sizes, 5).collect()} == {0: 0, 1: 0, 2: 3, 3: 3}
+    labels = spark.createDataFrame([(0, 7), (1, 8), (2, 9), (3, 9)], "node long, label long")
+    of = spark.createDataFrame([(7, 9), (8, 1), (9, 9)], "label long, size long")
+    assert {r["node"]: r["label"] for r in so.graph_size_filter(e, of, 5, labels).collect()} == {0: 7, 1: 7, 2: 9, 3: 9}
+
+
+def test_edge_random_forests(spark):
+    from tesserae.operators import learning
+
+    random = np.random.default_rng(0)
+    rows = [(i, i + 1, float(random.normal(i % 2 * 3)), float("nan") if i % 7 == 0 else 1.0, i % 2, i % 3 == 0, i % 5 > 0) for i in range(400)]
+    e = spark.createDataFrame(rows, "u long, v long, a double, b double, label int, z_edge boolean, valid boolean")
+    model = learning.learn_edge_random_forest(e, ["a", "b"], mask="valid", trees=10)
+    got = learning.predict_edge_random_forest(model, e)
+    assert got.columns == [*e.columns, "p"] and np.mean([(r["p"] > 0.5) == (r["label"] == 1) for r in got.collect()]) > 0.85
+    pair = learning.learn_random_forests_for_xyz_edges(e, ["a", "b"], trees=5)
+    assert learning.predict_edge_random_forests_for_xyz_edges(*pair, e).count() == 400
+
+
+def test_filter_features_and_size_filters(spark):
+    from tesserae.operators import neighbourhood as nb
+    from tesserae.operators import regions as rg
+
+    random = np.random.default_rng(1)
+    raw = random.random((10, 12))
+    rows = [(y, x, 1 + (x >= 4) + (x >= 8) if (y, x) != (5, 5) else 9, float(raw[y, x])) for y in range(10) for x in range(12)]
+    seg = spark.createDataFrame(rows, "y long, x long, seg long, raw double")
+    got = rg.boundary_features_with_filters(seg, [16, 16], filters={"gaussian_smoothing": [1.0], "hessian_of_gaussian_eigenvalues": [1.0]})
+    assert len(got.columns) == 3 + 3 * 11 and got.count() == 3
+    plain = rg.boundary_features(seg.withColumn("raw", seg.raw)).where("u = 1").first()
+    assert plain["size"] == got.where("u = 1").first()["size"]
+    kept = nb.apply_size_filter(seg.withColumnRenamed("seg", "label"), 2, [16, 16], [8, 8])
+    assert {r["label"] for r in kept.collect()} == {1, 2, 3} and kept.count() == 120
+    held = nb.apply_size_filter(seg.withColumnRenamed("seg", "label"), 2, [16, 16], [8, 8], exclude=[9])
+    assert {r["label"] for r in held.collect()} == {1, 2, 3, 9}
+    assert nb.apply_size_filter(seg.withColumnRenamed("seg", "label"), 999, [16, 16], [8, 8]).where("label = 0").count() == 0
+    merged = so.cluster_segmentation(seg, 2)
+    assert merged.select("cluster").distinct().count() == 2 and merged.count() == 120
