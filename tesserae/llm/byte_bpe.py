@@ -30,7 +30,7 @@ from tesserae.llm.slices import Index, Slices
 CONT, SP, WS, LETTER, NUMBER, OTHER, APOS, ONE, TWO = range(9)
 START, SPACE_, IN_L, IN_N, IN_O, QUOTE, HALF, DONE = range(8)
 #: Slices, and bytes of slices, that a worker remembers at most.
-CACHE, CACHE_BYTES = 1 << 20, 1 << 25
+CACHE, CACHE_BYTES = 1 << 19, 1 << 24
 #: Slices of more bytes are merged one by one.
 LONG = 64
 #: No pair has this rank.

@@ -37,7 +37,7 @@ BLOCK, PARTS, ENOUGH = 128, (512, 256, 128, 64), 0.015
 FILL = 0.993
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 #: Words whose ids a worker remembers at most, and bytes of them.
-CACHE, CACHE_BYTES = 1 << 20, 1 << 25
+CACHE, CACHE_BYTES = 1 << 19, 1 << 24
 #: Words that are encoded as one text.
 TOGETHER = 256
 
@@ -222,7 +222,7 @@ def windows(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "tex
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns] + ([pa.array([bytes(x) for x in blobs], pa.binary())] if with_ids else []), [x.split()[0] for x in SCHEMA.split(", ")] + (["ids"] if with_ids else []))
 
         for batch in batches:
-            for names, data, offsets in text_blocks(batch.column(0).to_numpy(zero_copy_only=False), batch.column(1), 4 << 20):
+            for names, data, offsets in text_blocks(batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)):
                 ids, at = encode(data, offsets)
                 for name, i, j in zip(names.tolist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
                     own, total = np.append(ids[i:j], np.uint32(end_id)), j - i + 1

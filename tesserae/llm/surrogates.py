@@ -68,6 +68,8 @@ def _other_letters(most: int = 1000) -> list[str]:
     return ["".join(x) for x in [*found.values(), *single.values()] if 1 < len(x) < most]
 
 
+#: Classes of plain letters and digits, and of digits.
+ASCII, DIGITS = CLASSES[:5], CLASSES[:1]
 #: Last letters that mark feminine names, and classes for all others.
 FEMININE = "aáàâаяα"
 LAST = ["".join(c for c in k if c not in FEMININE) for k in CLASSES]
@@ -89,15 +91,16 @@ def kind_of(entity: str) -> str:
     return "CASE " + " ".join(f"WHEN {entity} RLIKE {_quote(p)} THEN '{k}'" for k, p in tests.items()) + " ELSE 'name' END"
 
 
-def _shift(key: str, written: str, n: int | str) -> str:
-    """SQL: a number below n from a keyed hash of what is written already."""
-    return f"pmod(cast(conv(substr(sha2(concat({_quote(key + '|')}, {written}), 256), 1, 15), 16, 10) as bigint), {n})"
+def _hash(key: str, written: str) -> str:
+    """SQL: a number from a keyed hash of what is written already."""
+    return f"cast(conv(substr(sha2(concat({_quote(key + '|')}, {written}), 256), 1, 15), 16, 10) as bigint)"
 
 
 def _shifted(c: str, classes: list[str], key: str, written: str, other: list[str]) -> str:
-    """SQL: the character ``c`` shifted within its class."""
-    when = lambda ks: " ".join(f"WHEN locate({c}, {_quote(k)}) > 0 THEN substr({_quote(k)}, cast(pmod(locate({c}, {_quote(k)}) - 1 + {_shift(key, written, len(k))}, {len(k)}) as int) + 1, 1)" for k in ks)
-    return f"CASE {when(classes)}" + (f" WHEN ascii({c}) > 127 THEN CASE {when(other)} ELSE {c} END" if other else "") + f" ELSE {c} END"
+    """SQL: the character ``c`` shifted within its class k."""
+    when = lambda ks: " ".join(f"WHEN locate({c}, {_quote(k)}) > 0 THEN {_quote(k)}" for k in ks)
+    found = f"CASE {when(classes)}" + (f" WHEN ascii({c}) > 127 THEN CASE {when(other)} END" if other else "") + " END"
+    return f"transform(array({found}), k -> CASE WHEN k IS NULL THEN {c} ELSE substr(k, cast(pmod(locate({c}, k) - 1 + {_hash(key, written)}, length(k)) as int) + 1, 1) END)[0]"
 
 
 def _pass(chars: str, classes: list[str], key: str, other: list[str]) -> str:
@@ -127,17 +130,19 @@ def surrogate(entity: str, key: str) -> str:
     """SQL for the surrogate of the entity (of a name, one word) in the SQL expression ``entity``: one step of the permutation."""
     e = "e"
     name = f"transform(array({_cipher(f'substr({e}, 1, length({e}) - 1)', CLASSES, key + '/name', OTHER)}), p -> concat(p, transform(array(right({e}, 1)), l -> CASE WHEN locate(l, {_quote(FEMININE)}) > 0 THEN l ELSE {_shifted('l', LAST, key + '/last', 'p', OTHER)} END)[0]))[0]"
-    host = lambda k: _cipher("h", CLASSES, key + k)
-    other_host = f"transform(array(regexp_extract({e}, {_quote('@(.*)[.]')}, 1)), h -> transform(array({host('/host')}), g -> CASE WHEN g <> h THEN g WHEN {host('/host again')} <> h THEN {host('/host again')} ELSE concat('x', h) END)[0])[0]"
-    email = f"concat({_cipher(f'substring_index({e}, {_quote('@')}, 1)', CLASSES, key + '/email')}, '@', {other_host}, '.', substring_index({e}, '.', -1))"
-    country = f"concat(regexp_extract({e}, {_quote('^[+][0-9]{1,3}(?=[ .(-])')}, 0), {_cipher(f'substr({e}, length(regexp_extract({e}, {_quote('^[+][0-9]{1,3}(?=[ .(-])')}, 0)) + 1)', CLASSES, key + '/phone')})"
-    octets = f"array_join(transform(split({e}, '[.]'), (o, k) -> cast(pmod(cast(o as bigint) + {_shift(key + '/ip', f"concat(k, '.', array_join(slice(split({e}, '[.]'), 1, k), '.'))", 256)}, 256L) as string)), '.')"
-    digits = _cipher(e, CLASSES, key + "/digits")
-    card = f"CASE WHEN luhn_check(regexp_replace({e}, '[^0-9]', '')) THEN transform(array({_cipher(f'substr({e}, 1, length({e}) - 1)', CLASSES, key + '/card')}), b -> concat(b, {_luhn('b')}))[0] ELSE {digits} END"
+    host = lambda k: _cipher("h", ASCII, key + k)
+    other_host = f"transform(array(regexp_extract({e}, {_quote('@(.*)[.]')}, 1)), h -> transform(array({host('/host')}), g -> CASE WHEN g <> h THEN g ELSE transform(array({host('/host again')}), f -> CASE WHEN f <> h THEN f ELSE concat('x', h) END)[0] END)[0])[0]"
+    email = f"concat({_cipher(f'substring_index({e}, {_quote('@')}, 1)', ASCII, key + '/email')}, '@', {other_host}, '.', substring_index({e}, '.', -1))"
+    country = f"concat(regexp_extract({e}, {_quote('^[+][0-9]{1,3}(?=[ .(-])')}, 0), {_cipher(f'substr({e}, length(regexp_extract({e}, {_quote('^[+][0-9]{1,3}(?=[ .(-])')}, 0)) + 1)', DIGITS, key + '/phone')})"
+    octets = f"array_join(transform(split({e}, '[.]'), (o, k) -> cast(pmod(cast(o as bigint) + {_hash(key + '/ip', f"concat(k, '.', array_join(slice(split({e}, '[.]'), 1, k), '.'))")}, 256L) as string)), '.')"
+    card = f"transform(array({_cipher(f'substr({e}, 1, length({e}) - 1)', DIGITS, key + '/card')}), b -> concat(b, {_luhn('b')}))[0]"
     plain = f"replace({e}, ' ', '')"
     check = f"lpad(cast(98 - {_remainder(f"concat(replace(b, ' ', ''), substr({e}, 1, 2), '00')")} as string), 2, '0')"
-    iban = f"CASE WHEN {_remainder(f'concat(substr({plain}, 5), substr({plain}, 1, 4))')} = 1 THEN transform(array({_cipher(f'substr({e}, 5)', CLASSES, key + '/iban')}), b -> concat(substr({e}, 1, 2), {check}, b))[0] ELSE concat(substr({e}, 1, 2), {_cipher(f'substr({e}, 3)', CLASSES, key + '/digits')}) END"
-    body = f"CASE {kind_of(e)} WHEN 'email' THEN {email} WHEN 'secret' THEN {_cipher(e, [HEX], key + '/secret')} WHEN 'ip' THEN {octets} WHEN 'phone' THEN {country} WHEN 'name' THEN {name} WHEN 'card' THEN {card} WHEN 'iban' THEN {iban} ELSE {digits} END"
+    iban = f"transform(array({_cipher(f'substr({e}, 5)', ASCII, key + '/iban')}), b -> concat(substr({e}, 1, 2), CASE WHEN {_remainder(f'concat(substr({plain}, 5), substr({plain}, 1, 4))')} = 1 THEN {check} ELSE {_cipher(f'substr({e}, 3, 2)', DIGITS, key + '/check')} END, b))[0]"
+    body = (
+        f"CASE {kind_of(e)} WHEN 'email' THEN {email} WHEN 'secret' THEN {_cipher(e, [HEX], key + '/secret')} WHEN 'ip' THEN {octets} WHEN 'phone' THEN {country} WHEN 'name' THEN {name} WHEN 'iban' THEN {iban} "
+        f"ELSE CASE WHEN {kind_of(e)} = 'card' AND luhn_check(regexp_replace({e}, '[^0-9]', '')) THEN {card} ELSE {_cipher(e, DIGITS, key + '/digits')} END END"
+    )
     return f"transform(array({entity}), e -> {body})[0]"
 
 
