@@ -153,6 +153,32 @@ def test_line_keys_of_one_edit(words, least):
     assert len(pairs) > 100 and np.mean([(2 * k, 2 * k + 1) in found for k in range(len(pairs))]) >= least
 
 
+def test_line_keys_recall_of_all_pairs():
+    """Against edit similarity of all pairs of distinct lines of the small table, less those that lengths and grams rule out."""
+    import pyarrow.parquet as pq
+
+    from tesserae.llm.blocks import text_blocks
+
+    table, lines = pq.ParquetDataset("/root/testdata/sf0.01/documents.parquet").read(), set()
+    for _, data, offsets in text_blocks(table["doc_id"].to_numpy(), table["text"].combine_chunks()):
+        norm, starts, ends, _, _ = line_dedup.normalised(data, offsets)
+        raw = norm.tobytes()
+        lines |= {raw[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True) if b > a}
+    lines = sorted(lines, key=lambda x: (len(x), x))
+    data, offsets = line_rows(lines)
+    sizes, load, pairs = np.diff(offsets), line_dedup.loads(data, offsets[:-1], offsets[1:]), []
+    for i in range(len(lines)):
+        js = np.arange(i + 1, np.searchsorted(sizes, int(sizes[i] / 0.9) + 1, "right"))
+        js = js[line_dedup.close(np.full(len(js), load[i]), load[js])]
+        if len(js):
+            js = js[line_dedup.may_be_similar([lines[i], *(lines[j] for j in js)], np.zeros(len(js), np.int64), 1 + np.arange(len(js)), 0.9)]
+        pairs += [(i, j) for j in js.tolist() if line_dedup.similar(lines[i], lines[j], 0.9)]
+    keys = {}
+    for r, k in zip(*line_dedup.line_keys(data, offsets[:-1], offsets[1:], 0.9), strict=True):
+        keys.setdefault(int(r), set()).add(int(k))
+    assert len(pairs) > 250 and np.mean([bool(keys.get(i, set()) & keys.get(j, set())) for i, j in pairs]) > 0.97
+
+
 def test_line_dedup_finds_edited_lines(spark):
     ten, cjk = " ".join(WORDS[200:210]), "".join(chr(0x4E00 + 37 * k) for k in range(30))
     rows = [(1, f"{ten}\n{cjk}"), (2, ten.replace(WORDS[204], "other") + "\n" + cjk.replace(chr(0x4E00 + 37 * 12), "あ")), (3, "entirely different words stand in here")]
