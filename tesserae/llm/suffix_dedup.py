@@ -11,8 +11,10 @@ anew. Equal pieces of a bucket are one. Suffixes whose common prefix reaches the
 them goes back to the blocks of documents, which mark and cut.
 
 A block sends an anchor once and a piece once, however often it holds them, so what a common passage
-sends grows with the number of blocks, not with its copies. The anchors and pieces are candidate
-search only; whether two windows are equal is decided on their bytes.
+sends grows with the number of blocks, not with its copies. Within a bucket 31 bits tell anchors apart,
+as a bucket holds about as many anchors as a block; two anchors with one name are handled as one. A block
+sends its pieces in the order of their anchors and bytes, so the answers need no names. The anchors and
+pieces are candidate search only; whether two windows are equal is decided on their bytes.
 
 Defined cases: null and empty texts have no bytes and lose none; texts shorter than ``LENGTH`` lose
 none; of repeated rows with one id none is smaller, so they keep their text; an empty table gives an
@@ -204,13 +206,19 @@ def least_documents(text: np.ndarray, starts: np.ndarray, lengths: np.ndarray, d
     return out
 
 
-def piece_keys(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """128-bit names of the pieces, to recognise them inside their block."""
-    out = np.empty(len(starts), "V16")
-    raw = data.tobytes()
-    for k, (i, n) in enumerate(zip(starts.tolist(), lengths.tolist(), strict=True)):
-        out[k] = hashlib.blake2b(raw[i : i + n], digest_size=16).digest()
-    return out
+def content_order(data: np.ndarray, start: np.ndarray, lengths: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """The order of distinct pieces by key and bytes, the same wherever their block is read again."""
+    order = np.argsort(key, kind="stable")
+    same = key[order[1:]] == key[order[:-1]]
+    tied = np.flatnonzero(np.append(same, False) | np.append(False, same)) if len(order) else order
+    if len(tied):
+        which = order[tied]
+        n, width = lengths[which], -(-(2 * LENGTH - ANCHOR) // 8) * 8
+        padded = np.zeros(len(which) * width, np.uint8)
+        padded[ranges(np.arange(len(which)) * width, n)] = data[ranges(start[which], n)]
+        words = padded.view(">u8").astype(np.uint64).reshape(len(which), -1)
+        order[tied] = which[np.lexsort((n, *words.T[::-1], key[which]))]
+    return order
 
 
 def distinct_pieces(data: np.ndarray, start: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -230,73 +238,85 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wit
     blocks = bucket_count(docs.count() if rows is None else rows, BLOCK_ROWS, 8)
     placed = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"), F.pmod(F.xxhash64(doc_id), F.lit(blocks)).cast("int").alias("block"))
 
+    def keys_of(anchor: np.ndarray) -> np.ndarray:
+        """The bucket of each anchor and, in the lowest 31 bits, its name there."""
+        h = mix(anchor)
+        return ((h >> np.uint64(32)) % np.uint64(blocks) << np.uint64(31)) | ((h & np.uint64(0xFFFFFFFF)) >> np.uint64(1))
+
+    def parts(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return (key >> np.uint64(31)).astype(np.int64), (key & np.uint64(0x7FFFFFFF)).astype(np.uint32)
+
     def anchors(group: pa.Table) -> pa.Table:
         data, offsets = flat(group["text"])
         anchor, row, _, _ = runs(data, offsets)
         doc = group["doc_id"].to_numpy()[row]
-        order = np.lexsort((doc, anchor))
-        anchor, doc = anchor[order], doc[order]
-        first, ends = groups(anchor)
+        key = keys_of(anchor)
+        order = np.lexsort((doc, key))
+        key, doc = key[order], doc[order]
+        first, ends = groups(key)
         several = doc[first] != doc[ends - 1]
+        bucket, name = parts(key[first])
         # The lowest bit says whether the block itself has the anchor in two documents.
-        value = (anchor[first] & ~np.uint64(1)) | several.astype(np.uint64)
-        return by_bucket((value >> np.uint64(8)) % np.uint64(blocks), "bucket", [value], group["block"][0].as_py())
+        return by_bucket(bucket, "bucket", [(name << np.uint32(1)) | several.astype(np.uint32)], group["block"][0].as_py())
 
     def shared(group: pa.Table) -> pa.Table:
-        values = [np.frombuffer(x, np.uint64) for x in group["e0"].to_pylist()]
+        values = [np.frombuffer(x, np.uint32) for x in group["e0"].to_pylist()]
         block = np.repeat(group["block"].to_numpy(), [len(v) for v in values])
         value = np.concatenate(values)
-        order = np.argsort(value >> np.uint64(1), kind="stable")
+        order = np.argsort(value >> np.uint32(1), kind="stable")
         value, block = value[order], block[order]
-        anchor = value >> np.uint64(1)
+        anchor = value >> np.uint32(1)
         first, ends = groups(anchor)
         size = ends - first
-        several = (size > 1) | (np.bitwise_or.reduceat(value & np.uint64(1), first) > 0)
+        several = (size > 1) | (np.bitwise_or.reduceat(value & np.uint32(1), first) > 0)
         hit = np.repeat(several, size)
-        out = by_bucket(block[hit], "to", [anchor[hit]], 0)
-        return out.select(["to", "e0"]).rename_columns(["block", "e0"])
+        out = by_bucket(block[hit], "to", [anchor[hit]], group["bucket"][0].as_py())
+        return out.select(["to", "block", "e0"]).rename_columns(["block", "bucket", "e0"])
 
     def anchor_set(group: pa.Table) -> np.ndarray:
-        found = [np.frombuffer(x, np.uint64) for x in group["e0"].to_pylist()]
-        return np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
+        """The keys that a block is told, each once."""
+        found = [np.frombuffer(x, np.uint32) for x in group["e0"].to_pylist()]
+        bucket = np.repeat(group["bucket"].to_numpy().astype(np.uint64), [len(x) for x in found])
+        return np.unique((bucket << np.uint64(31)) | np.concatenate(found)) if found else np.zeros(0, np.uint64)
 
     def pieces(texts: pa.Table, group: pa.Table) -> pa.Table:
-        empty = by_bucket(np.zeros(0, np.int64), "bucket", [np.zeros(0, np.uint64)] * 4, 0)
+        empty = by_bucket(np.zeros(0, np.int64), "bucket", [np.zeros(0, np.uint32)] * 4, 0)
         if not texts.num_rows or not group.num_rows:
             return empty
         data, offsets = flat(texts["text"])
-        anchor, row, start, count = matched(data, offsets, anchor_set(group))
+        key, row, start, count = matched(data, offsets, anchor_set(group))
         if not len(start):
             return empty
         first, code = distinct_pieces(data, start, count)
         doc = np.full(len(first), np.iinfo(np.int64).max)
         np.minimum.at(doc, code, texts["doc_id"].to_numpy()[row])
         lengths = (count + LENGTH - 1)[first].astype(np.int64)
-        bucket = ((anchor[first] >> np.uint64(8)) % np.uint64(blocks)).astype(np.int64)
-        order = np.lexsort((anchor[first], bucket))
+        order = content_order(data, start[first], lengths, key[first])
+        bucket, name = parts(key[first])
         packed = [data[i : i + n].tobytes() for i, n in zip(start[first][order].tolist(), lengths[order].tolist(), strict=True)]
         bucket = bucket[order]
         edges, ends = groups(bucket)
         column = lambda x: pa.array([x[order][i:j].tobytes() for i, j in zip(edges, ends, strict=True)], pa.binary())
-        return pa.table({"bucket": pa.array(bucket[edges].astype(np.int32)), "block": pa.array(np.full(len(edges), texts["block"][0].as_py()), pa.int32()), "e0": column(anchor[first]), "e1": column(doc), "e2": column(lengths.astype(np.uint8)), "e3": pa.array([b"".join(packed[i:j]) for i, j in zip(edges, ends, strict=True)], pa.binary())})
+        return pa.table({"bucket": pa.array(bucket[edges].astype(np.int32)), "block": pa.array(np.full(len(edges), texts["block"][0].as_py()), pa.int32()), "e0": column(name), "e1": column(doc), "e2": column(lengths.astype(np.uint8)), "e3": pa.array([b"".join(packed[i:j]) for i, j in zip(edges, ends, strict=True)], pa.binary())})
 
     def matched(data: np.ndarray, offsets: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, ...]:
         anchor, row, start, count = runs(data, offsets)
-        short = anchor >> np.uint64(1)
-        at = np.minimum(np.searchsorted(wanted, short), max(len(wanted) - 1, 0))
-        hit = np.flatnonzero(wanted[at] == short) if len(wanted) else np.zeros(0, np.int64)
-        return anchor[hit], row[hit], start[hit], count[hit]
+        key = keys_of(anchor)
+        at = np.minimum(np.searchsorted(wanted, key), max(len(wanted) - 1, 0))
+        hit = np.flatnonzero(wanted[at] == key) if len(wanted) else np.zeros(0, np.int64)
+        return key[hit], row[hit], start[hit], count[hit]
 
     def least(group: pa.Table) -> pa.Table:
-        anchor = np.concatenate([np.frombuffer(x, np.uint64) for x in group["e0"].to_pylist()])
+        names = [np.frombuffer(x, np.uint32) for x in group["e0"].to_pylist()]
+        anchor = np.concatenate(names)
         doc = np.concatenate([np.frombuffer(x, np.int64) for x in group["e1"].to_pylist()])
-        sizes = [np.frombuffer(x, np.uint8) for x in group["e2"].to_pylist()]
-        block = np.repeat(group["block"].to_numpy(), [len(x) for x in sizes])
-        lengths = np.concatenate(sizes).astype(np.int64)
+        lengths = np.concatenate([np.frombuffer(x, np.uint8) for x in group["e2"].to_pylist()]).astype(np.int64)
         text = np.frombuffer(b"".join(group["e3"].to_pylist()), np.uint8)
         starts = np.cumsum(lengths) - lengths
         order = np.argsort(anchor, kind="stable")
-        out: list[tuple] = []
+        windows = lengths - LENGTH + 1
+        begin = np.append(0, np.cumsum(windows))
+        low = np.empty(begin[-1], np.int64)
         at = 0
         while at < len(order):
             # Whole anchors only; one with more pieces than a construction holds is split by the windows' bytes.
@@ -305,21 +325,13 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wit
                 to = int(np.searchsorted(anchor[order], anchor[order[to]]))
                 to = to if to > at else int(np.searchsorted(anchor[order], anchor[order[at]], "right"))
             part = order[at:to]
-            out.append((part, least_of(text, starts[part], lengths[part], doc[part], anchor[part])))
+            low[ranges(begin[part], windows[part])] = least_of(text, starts[part], lengths[part], doc[part], anchor[part])
             at = to
-        if not out:
-            return pa.table({"block": pa.array([], pa.int32()), "e0": pa.array([], pa.binary()), "e1": pa.array([], pa.binary())})
-        part = np.concatenate([x[0] for x in out])
-        low = np.concatenate([x[1] for x in out])
-        windows = (lengths - LENGTH + 1)[part]
-        begin = np.cumsum(windows) - windows
-        back = np.argsort(block[part], kind="stable")
-        b = block[part][back]
-        edges, ends = groups(b)
-        names = piece_keys(text, starts[part], lengths[part])
-        e0 = [names[back[i:j]].tobytes() for i, j in zip(edges, ends, strict=True)]
-        e1 = [low[ranges(begin[back[i:j]], windows[back[i:j]])].tobytes() for i, j in zip(edges, ends, strict=True)]
-        return pa.table({"block": pa.array(b[edges].astype(np.int32)), "e0": pa.array(e0, pa.binary()), "e1": pa.array(e1, pa.binary())})
+        edges = begin[np.append(0, np.cumsum([len(x) for x in names]))]
+        e1 = [low[i:j].tobytes() for i, j in zip(edges[:-1], edges[1:], strict=True)]
+        # The anchors go back with the answers, so that the block knows its pieces again.
+        e0 = [np.unique(x).tobytes() for x in names]
+        return pa.table({"block": group["block"], "bucket": group["bucket"], "e0": pa.array(e0, pa.binary()), "e1": pa.array(e1, pa.binary())})
 
     def least_of(text: np.ndarray, starts: np.ndarray, lengths: np.ndarray, doc: np.ndarray, anchor: np.ndarray) -> np.ndarray:
         if len(starts) <= PIECES:
@@ -354,21 +366,16 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wit
         ids = texts["doc_id"].to_numpy()
         gone = np.zeros(len(data) + 1, np.int64)
         if group.num_rows and len(data):
-            wanted = anchor_set(group.filter(pa.compute.is_null(group["e1"])))
-            reply = group.filter(pa.compute.is_valid(group["e1"]))
-            anchor, row, start, count = matched(data, offsets, wanted)
-            if reply.num_rows and len(start):
+            key, row, start, count = matched(data, offsets, anchor_set(group))
+            if len(start):
                 first, code = distinct_pieces(data, start, count)
-                names = piece_keys(data, start[first], (count + LENGTH - 1)[first].astype(np.int64))
-                theirs = np.frombuffer(b"".join(reply["e0"].to_pylist()), "V16")
-                low = np.frombuffer(b"".join(reply["e1"].to_pylist()), np.int64)
-                place = {k.tobytes(): i for i, k in enumerate(theirs)}
-                where = np.array([place[k.tobytes()] for k in names], np.int64)
-                windows = np.empty(len(theirs), np.int64)
-                windows[where] = count[first]
-                begin = np.cumsum(windows) - windows
+                order = content_order(data, start[first], (count + LENGTH - 1)[first].astype(np.int64), key[first])
+                low = np.frombuffer(b"".join(group.sort_by("bucket")["e1"].to_pylist()), np.int64)
+                windows = count[first][order]
+                begin = np.empty(len(order), np.int64)
+                begin[order] = np.cumsum(windows) - windows
                 spots = ranges(start, count)
-                value = low[ranges(begin[where[code]], count)]
+                value = low[ranges(begin[code], count)]
                 hit = spots[value < np.repeat(ids[row], count)]
                 np.add.at(gone, hit, 1)
                 np.add.at(gone, hit + LENGTH, -1)
@@ -382,8 +389,7 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wit
         out = {"doc_id": ids, "n_bytes": np.diff(offsets), "n_removed": np.diff(total[offsets]), "n_spans": np.diff(spans[offsets]), "kept_sha256": [hashlib.sha256(x).hexdigest() for x in kept]}
         return pa.table(out | ({"kept": pa.array(kept, pa.binary())} if with_text else {}))
 
-    seen = placed.groupBy("block").applyInArrow(anchors, "bucket int, block int, e0 binary").groupBy("bucket").applyInArrow(shared, "block int, e0 binary")
+    seen = placed.groupBy("block").applyInArrow(anchors, "bucket int, block int, e0 binary").groupBy("bucket").applyInArrow(shared, "block int, bucket int, e0 binary")
     sent = placed.groupBy("block").cogroup(seen.groupBy("block")).applyInArrow(pieces, "bucket int, block int, e0 binary, e1 binary, e2 binary, e3 binary")
-    reply = sent.groupBy("bucket").applyInArrow(least, "block int, e0 binary, e1 binary")
-    told = reply.unionByName(seen.withColumn("e1", F.lit(None).cast("binary")))
+    told = sent.groupBy("bucket").applyInArrow(least, "block int, bucket int, e0 binary, e1 binary")
     return placed.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(cut_out, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_text else ""))
