@@ -19,6 +19,7 @@ from tesserae.operators import regions as rg
 from tesserae.operators import solvers as so
 from tesserae.operators import tracking as tr
 from tesserae.operators import transform as tf
+from tesserae.operators import workflows as wf
 from tesserae.plans.fixpoint import components
 from tesserae.plans.views import view, with_views
 from tesserae.sources import geometry as ge
@@ -734,11 +735,19 @@ def m21_graph_watershed(s, d):
 @register()
 def x8_multicut_workflow(s, d):
     """Superpixels per slice, adjacency, boundary means, costs, multicut, labels back to voxels."""
+    return wf.simple_multicut(vol(s, d).withColumn("raw", F.col("raw") / 600000), True, sigma_seeds=1.0)
+
+
+@register()
+def x9_lifted_multicut_workflow(s, d):
+    """As x8, with lifted costs from bands of rows."""
     v = vol(s, d).withColumn("raw", F.col("raw") / 600000)
-    ws = v.join(nb.stacked_watershed(v, sigma_seeds=1.0).withColumnRenamed("label", "sp"), ["z", "y", "x"])
-    e = gr.probabilities_to_costs(rg.mean_and_length(ws, ("z", "y", "x"), "sp").withColumnRenamed("mean", "p"))
-    nodes = so.multicut(e.select("u", "v", "w"), nodes=ws.select(F.col("sp").alias("node")).distinct())
-    return rg.project_node_labels(ws.select("z", "y", "x", "sp"), nodes, "sp")
+    return wf.lifted_from_segmentation(v.withColumn("prior", F.floor(F.col("y") / 8)), "prior", True, 0.5, 2, 1.0, -1.0, sigma_seeds=1.0)
+
+
+@register()
+def x3_two_pass_watershed(s, d):
+    return nb.two_pass_watershed(img(s, d).withColumn("raw", F.col("raw") / 600000), [32, 64], [8, 8], sigma_seeds=1.0)
 
 
 # Learning, filters and further partitions; tests compare them with small worked cases.
