@@ -421,8 +421,9 @@ def g21_g22_lifted_from_classes(s, d):
 
 @register("SELECT u % 10 AS u, v % 7 + 1000 AS v, round(sum(w), 4) + 0.0 AS w FROM signed GROUP BY 1, 2")
 def g26_contract(s, d):
-    e = view(s, d, "signed")
-    nodes = e.select(F.col("u").alias("node"), (F.col("u") % 10).alias("label")).unionByName(e.select(F.col("v").alias("node"), (F.col("v") % 7 + 1000).alias("label"))).distinct()
+    """Both sides have their own nodes, but suppliers from 1000 on share numbers with parts: a part is the node below zero."""
+    e = view(s, d, "signed").withColumn("v", -F.col("v"))
+    nodes = e.select(F.col("u").alias("node"), (F.col("u") % 10).alias("label")).unionByName(e.select(F.col("v").alias("node"), (-F.col("v") % 7 + 1000).alias("label"))).distinct()
     return rounded(gr.contract(e, nodes))
 
 

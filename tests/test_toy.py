@@ -213,3 +213,13 @@ def test_filter_features_and_size_filters(spark):
     assert nb.apply_size_filter(seg.withColumnRenamed("seg", "label"), 999, [16, 16], [8, 8]).where("label = 0").count() == 0
     merged = so.cluster_segmentation(seg, 2)
     assert merged.select("cluster").distinct().count() == 2 and merged.count() == 120
+
+
+def test_contract_where_both_sides_share_numbers(spark, tmp_path):
+    from tesserae.plans.registry import queries
+
+    rows = [(1, 1, 1000, 5, 0.1), (2, 1, 3, 0, 0.02), (3, 1, 1005, 3, 0.07)]  # suppliers 1000 and 1005 are also numbers of parts
+    lines = spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_suppkey long, l_partkey long, l_discount double")
+    lines.write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = sorted(map(tuple, queries()["g26_contract"](spark, str(tmp_path)).collect()))
+    assert got == [(0, 1004, 0.05), (3, 1006, -0.03), (5, 1002, 0.02)]
