@@ -24,3 +24,10 @@ def test_components_of_a_long_path(spark):
         got = {r["node"]: r["component"] for r in components(path.unionByName(extra), alone, one_task=most).collect()}
         assert got == want
     assert components(path.limit(0)).count() == 0
+
+
+def test_components_of_a_long_path_in_order(spark):
+    # Labels that only pass from neighbour to neighbour need more than 60 rounds here.
+    path = spark.range(3000).select(F.col("id").alias("u"), (F.col("id") + 1).alias("v")).repartition(4)
+    got = components(path.unionByName(path.selectExpr("u + 10000 AS u", "v + 10000 AS v")), one_task=1000).collect()
+    assert {(r["component"], r["node"] >= 10000) for r in got} == {(0, False), (10000, True)} and len(got) == 6002
