@@ -271,3 +271,10 @@ def test_kernighan_lin_is_no_worse_than_whole_passes():
         u, v, w = grid_costs(40, seed, mean)
         x = so.kernighan_lin(1600, u, v, w)
         assert w[x[u] != x[v]].sum() <= energy
+
+
+def test_fusion_searches_from_the_best_solution():
+    # Searches from the contracted graph's own starts ended at -1132.2812.
+    u, v, w = grid_costs(40, 3, 0.0)
+    x = so.fusion_moves(1600, u, v, w, rounds=3)
+    assert w[x[u] != x[v]].sum() <= -1132.41
