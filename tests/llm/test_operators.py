@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -459,6 +460,33 @@ def test_cover_tree_of_equal_vectors_ids_and_lengths(spark, monkeypatch):
         assert {r["component_id"] for r in got if r["vec_id"] == i} == {0 if i < 300 else i - i % 2}
 
 
+def test_cover_tree_deals_bundles_and_holds_few_cosines(spark, monkeypatch):
+    random = np.random.default_rng(6)
+    # Tasks hold some rows of cosines at a time, however many pairs link.
+    dense = cover_tree.unit(random.normal(size=8) + 0.01 * random.normal(size=(2000, 8)))
+    levels = [cover_tree.Level(dense[:1], np.array([1.0]), np.zeros(1, np.int64)), cover_tree.Level(dense, np.zeros(2000), np.zeros(2000, np.int64))]
+    monkeypatch.setattr(cover_tree, "CELLS", 1 << 16)
+    tracemalloc.start()
+    found = sum(int(sure.sum()) for _, _, sure in cover_tree.dual(levels, levels, 0.9, 0.9))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == 2000 * 2000 and peak < 20e6
+    # Vectors that meet all nodes are dealt to bundles of them; cosines next to the threshold are settled in double precision.
+    v = random.normal(size=(1500, 24))
+    e = np.eye(24)
+    v[:40] = [(0.9 + (k - 19.5) * 1e-6) * e[0] + np.sqrt(1 - (0.9 + (k - 19.5) * 1e-6) ** 2) * e[1] for k in range(40)]
+    v[40] = e[0]
+    monkeypatch.setattr(cover_tree, "NODE", 32)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    dealt = cover_tree.node_pairs(cover_tree.distinct_vectors(df, "vec_id", "embedding"), 0.9, "embedding")
+    assert dealt.count() <= 1500 * (cover_tree.BUNDLES + 2)
+    u = v / np.linalg.norm(v, axis=1)[:, None]
+    near = (u[:, None, :] * u[None, :, :]).sum(axis=2) >= 0.9
+    np.fill_diagonal(near, False)
+    assert near[40].sum() == 20
+    assert {r["vec_id"]: r["n_links"] for r in cover_tree.clusters(df).collect()} == dict(enumerate(near.sum(axis=1).tolist()))
+
+
 def test_quality_classifier(spark):
     rows = [(i, ("good plain words here " + WORDS[i]) if i % 2 else ("BAD!! LOUD!! " + WORDS[i].upper())) for i in range(300)] + [(300, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
