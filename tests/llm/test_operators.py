@@ -193,6 +193,17 @@ def test_line_dedup_short_copies(spark):
     assert got == {1: "Read more\n\nfirst", 2: "--\nsecond", 3: "Share this", 4: ""}
 
 
+def test_line_dedup_writes_no_keys_and_leaves_no_texts(docs, monkeypatch):
+    from pathlib import Path
+
+    written, cut = [], line_dedup.cut
+    monkeypatch.setattr(line_dedup, "cut", lambda df: written.append((x := cut(df), x.inputFiles())) or x)
+    line_dedup.deduplicate(docs).count()
+    assert not any("blob" in x.columns for x, _ in written)
+    (texts,) = [files for x, files in written if "norm" in x.columns]
+    assert texts and not any(Path("/" + f.split(":", 1)[1].lstrip("/")).exists() for f in texts)
+
+
 def test_quality_rules(docs):
     got = {r["doc_id"]: r for r in quality_rules.judge(docs).collect()}
     assert got[4]["base_failed"] and got[4]["n_words"] == 0 and not got[1]["base_failed"]
