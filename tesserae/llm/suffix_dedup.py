@@ -8,7 +8,8 @@ one bucket per anchor. There the Burrows-Wheeler transform of the collection of
 by column: each round inserts one more symbol of every piece, from its end, and updates the transform
 and the common prefixes of neighbouring suffixes, reading both from end to end and writing them
 anew. Equal pieces of a bucket are one. Suffixes whose common prefix reaches the length are equal windows; the smallest document among
-them goes back to the blocks of documents, which mark and cut.
+them goes back to the blocks of documents, which mark and cut. Of pieces that differ, only the stretches enter whose
+windows have a hash that occurs elsewhere in their bucket; hashes leave windows out, they never join two.
 
 A block sends an anchor once and a piece once, however often it holds them, so what a common passage
 sends grows with the number of blocks, not with its copies. Within a bucket 31 bits tell anchors apart,
@@ -37,6 +38,8 @@ from tesserae.llm.session import bucket_count
 LENGTH, ANCHOR = 50, 20
 #: Rows that one document block, and pieces that one construction, hold.
 BLOCK_ROWS, PIECES = 512, 1 << 16
+#: Blocks send a row to nearly every bucket; beyond so many blocks they grow instead, up to so many rows or bytes of text.
+MANY, LARGE_ROWS, LARGE_BYTES = 512, 4096, 16 << 20
 
 
 def slices(offsets: np.ndarray, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
@@ -233,9 +236,41 @@ def distinct_pieces(data: np.ndarray, start: np.ndarray, count: np.ndarray) -> t
     return first, code
 
 
+def shared_windows(data: np.ndarray, starts: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(piece, first window in it, number of windows) of the runs of windows whose hash occurs at another place of the pieces as well."""
+    at = np.zeros(len(starts) + 1, np.int64)
+    np.cumsum(windows + LENGTH - 1, out=at[1:])
+    found = []
+    for i, j in slices(at):
+        n = windows[i:j]
+        here = ranges(at[i:j] - at[i], n)
+        found.append(slice_hashes(data[ranges(starts[i:j], n + LENGTH - 1)], here, here + LENGTH))
+    _, number, count = np.unique(np.concatenate(found), return_inverse=True, return_counts=True)
+    again = count[number.ravel()] > 1
+    begin = np.cumsum(windows) - windows
+    opens, closes = again.copy(), again.copy()
+    opens[1:] &= ~again[:-1]
+    closes[:-1] &= ~again[1:]
+    opens[begin] = again[begin]
+    closes[begin[1:] - 1] = again[begin[1:] - 1]
+    first, last = np.flatnonzero(opens), np.flatnonzero(closes)
+    piece = np.searchsorted(begin, first, "right") - 1
+    return piece, first - begin[piece], last - first + 1
+
+
+def block_count(docs: DataFrame, text: str, rows: int | None) -> int:
+    """Blocks of ``BLOCK_ROWS`` rows, but of more where they would be over ``MANY``: what they exchange has a row for each two of them."""
+    rows = docs.count() if rows is None else rows
+    blocks = bucket_count(rows, BLOCK_ROWS, 8)
+    if blocks <= MANY:
+        return blocks
+    size = docs.agg(F.sum(F.octet_length(F.col(text).cast("binary")))).first()[0] or 0
+    return min(blocks, max(MANY, bucket_count(rows, LARGE_ROWS, 1), bucket_count(size, LARGE_BYTES, 1)))
+
+
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", with_text: bool = False, rows: int | None = None) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 per document; ``with_text`` adds the kept bytes."""
-    blocks = bucket_count(docs.count() if rows is None else rows, BLOCK_ROWS, 8)
+    blocks = block_count(docs, text, rows)
     placed = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"), F.pmod(F.xxhash64(doc_id), F.lit(blocks)).cast("int").alias("block"))
 
     def keys_of(anchor: np.ndarray) -> np.ndarray:
@@ -317,13 +352,13 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wit
         windows = lengths - LENGTH + 1
         begin = np.append(0, np.cumsum(windows))
         low = np.empty(begin[-1], np.int64)
-        at = 0
+        at, sorted_anchor = 0, anchor[order]
         while at < len(order):
             # Whole anchors only; one with more pieces than a construction holds is split by the windows' bytes.
             to = min(len(order), at + PIECES)
             if to < len(order):
-                to = int(np.searchsorted(anchor[order], anchor[order[to]]))
-                to = to if to > at else int(np.searchsorted(anchor[order], anchor[order[at]], "right"))
+                to = int(np.searchsorted(sorted_anchor, sorted_anchor[to]))
+                to = to if to > at else int(np.searchsorted(sorted_anchor, sorted_anchor[at], "right"))
             part = order[at:to]
             low[ranges(begin[part], windows[part])] = least_of(text, starts[part], lengths[part], doc[part], anchor[part])
             at = to
@@ -333,6 +368,11 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wit
         e0 = [np.unique(x).tobytes() for x in names]
         return pa.table({"block": group["block"], "bucket": group["bucket"], "e0": pa.array(e0, pa.binary()), "e1": pa.array(e1, pa.binary())})
 
+    def rivals(anchor: np.ndarray) -> np.ndarray:
+        """The pieces whose anchor has several; a single piece shares its windows with no other and needs no construction."""
+        _, own, count = np.unique(anchor, return_inverse=True, return_counts=True)
+        return np.flatnonzero(count[own] > 1)
+
     def least_of(text: np.ndarray, starts: np.ndarray, lengths: np.ndarray, doc: np.ndarray, anchor: np.ndarray) -> np.ndarray:
         if len(starts) <= PIECES:
             # Equal pieces of several blocks are one, with the smallest of their documents.
@@ -341,12 +381,20 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wit
             np.minimum.at(low, code, doc)
             windows = (lengths - LENGTH + 1)[first]
             found = np.repeat(low, windows)
-            # An anchor with a single piece shares its windows with no other; the construction is for those with several.
-            _, own, count = np.unique(anchor[first], return_inverse=True, return_counts=True)
-            several = np.flatnonzero(count[own] > 1)
-            at = (np.cumsum(windows) - windows)[several]
-            found[ranges(at, windows[several])] = least_documents(text, starts[first][several], lengths[first][several], low[several])
-            return found[ranges((np.cumsum(windows) - windows)[code], windows[code])]
+            begin, several = np.cumsum(windows) - windows, rivals(anchor[first])
+            if len(several):
+                # Of these only the runs of windows that may occur elsewhere matter; equal ones are one again.
+                which, at, n = shared_windows(text, starts[first][several], windows[several])
+                which = several[which]
+                if len(which):
+                    part, number = distinct_pieces(text, starts[first][which] + at, n)
+                    least = np.full(len(part), np.iinfo(np.int64).max)
+                    np.minimum.at(least, number, low[which])
+                    size = n[part]
+                    value, edge, tried = np.repeat(least, size), np.cumsum(size) - size, rivals(anchor[first][which][part])
+                    value[ranges(edge[tried], size[tried])] = least_documents(text, (starts[first][which] + at)[part][tried], (size + LENGTH - 1)[tried], least[tried])
+                    found[ranges(begin[which] + at, n)] = value[ranges(edge[number], n)]
+            return found[ranges(begin[code], windows[code])]
         windows = lengths - LENGTH + 1
         at = ranges(starts, windows)
         owner = np.repeat(doc, windows)
@@ -364,7 +412,7 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wit
     def cut_out(texts: pa.Table, group: pa.Table) -> pa.Table:
         data, offsets = flat(texts["text"])
         ids = texts["doc_id"].to_numpy()
-        gone = np.zeros(len(data) + 1, np.int64)
+        gone = np.zeros(len(data) + 1, np.int8)
         if group.num_rows and len(data):
             key, row, start, count = matched(data, offsets, anchor_set(group))
             if len(start):
@@ -377,16 +425,17 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wit
                 spots = ranges(start, count)
                 value = low[ranges(begin[code], count)]
                 hit = spots[value < np.repeat(ids[row], count)]
-                np.add.at(gone, hit, 1)
-                np.add.at(gone, hit + LENGTH, -1)
-        removed = np.cumsum(gone)[:-1] > 0
+                gone[hit] += 1  # a place is the start of one window at most
+                gone[hit + LENGTH] -= 1
+        removed = np.cumsum(gone, dtype=np.int8)[:-1] > 0
         opens = removed.copy()
         opens[1:] &= ~removed[:-1]
         inner = offsets[:-1][offsets[:-1] < len(data)]
         opens[inner] = removed[inner]
-        total, spans = np.append(0, np.cumsum(removed)), np.append(0, np.cumsum(opens))
+        kind = np.int32 if len(data) < 1 << 31 else np.int64
+        total, spans = (np.append(kind(0), np.cumsum(x, dtype=kind)) for x in (removed, opens))
         kept = [data[i:j][~removed[i:j]].tobytes() for i, j in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-        out = {"doc_id": ids, "n_bytes": np.diff(offsets), "n_removed": np.diff(total[offsets]), "n_spans": np.diff(spans[offsets]), "kept_sha256": [hashlib.sha256(x).hexdigest() for x in kept]}
+        out = {"doc_id": ids, "n_bytes": np.diff(offsets), "n_removed": np.diff(total[offsets]).astype(np.int64), "n_spans": np.diff(spans[offsets]).astype(np.int64), "kept_sha256": [hashlib.sha256(x).hexdigest() for x in kept]}
         return pa.table(out | ({"kept": pa.array(kept, pa.binary())} if with_text else {}))
 
     seen = placed.groupBy("block").applyInArrow(anchors, "bucket int, block int, e0 binary").groupBy("bucket").applyInArrow(shared, "block int, bucket int, e0 binary")

@@ -73,6 +73,27 @@ def test_suffix_dedup(docs):
     assert suffix_dedup.deduplicate(empty(docs)).count() == 0
 
 
+def test_suffix_dedup_exchanges_fewer_rows_of_many_blocks(spark, monkeypatch):
+    """Blocks grow instead of getting more, as each sends a row to each bucket; the results stay."""
+    monkeypatch.setattr(suffix_dedup, "BLOCK_ROWS", 1)
+    monkeypatch.setattr(suffix_dedup, "MANY", 4, raising=False)
+    random = np.random.default_rng(5)
+    common = ["".join(map(chr, random.integers(97, 123, n))) for n in (49, 50, 63, 90, 240)]
+    # Equal stretches in different surroundings, so that pieces of one anchor differ.
+    rows = [(i, "".join(common[random.integers(5)] + "".join(map(chr, random.integers(97, 100, random.integers(0, 30)))) for _ in range(6))) for i in range(60)]
+    found = suffix_dedup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r[0]: tuple(r)[1:] for r in found.collect()} == brute_removed([(i, t.encode()) for i, t in rows])
+    docs = spark.createDataFrame([(1, "x" * 40)], "doc_id long, text string")
+    assert suffix_dedup.block_count(docs, "text", 100) == 4 and suffix_dedup.block_count(docs, "text", 40960) == 10
+
+
+def test_suffix_dedup_builds_over_shared_stretches_only():
+    text = np.frombuffer(b"abc" + b"q" * 10 + bytes(range(60)) + b"z" * 20 + b"0123456789" + bytes(range(60)) + bytes(range(100, 130)), np.uint8)
+    starts, windows = np.array([0, 93]), np.array([93 - 49, 100 - 49])
+    piece, at, n = suffix_dedup.shared_windows(text, starts, windows)
+    assert list(zip(piece.tolist(), at.tolist(), n.tolist(), strict=True)) == [(0, 13, 11), (1, 10, 11)]
+
+
 def shingles(t):
     w = re.findall("[^\x20\x09-\x0d]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
     return {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
