@@ -355,3 +355,19 @@ def test_multicut_searches_from_each_start_in_a_task_of_its_own(spark, monkeypat
     assert tried.select("component", "rank.start").distinct().count() == 2
     want = so.kernighan_lin(n, u, v, w)
     assert all((got[a] == got[b]) == (want[a] == want[b]) for a in range(n) for b in range(n))
+
+
+def test_fusion_makes_its_searches_and_proposals_in_tasks_of_their_own(spark, monkeypatch):
+    random, n = np.random.default_rng(6), 60
+    pairs = sorted({(min(a, b), max(a, b)) for a, b in random.integers(0, n, (240, 2)).tolist() if a != b} | {(i, i + 1) for i in range(n - 1)})
+    u, v = np.array(pairs).T
+    w = random.integers(-5, 6, len(u)).astype(float)
+    w[v == u + 1] = 1.5
+    written, cut = [], so.cut
+    monkeypatch.setattr(so, "cut", lambda df: written.append(cut(df)) or written[-1])
+    monkeypatch.setattr(so, "APART", 1, raising=False)
+    got = {r["node"]: r["label"] for r in so.multicut(spark.createDataFrame([(*p, x) for p, x in zip(pairs, w.tolist(), strict=True)], "u long, v long, w double"), "fusion-moves").collect()}
+    (tried,) = [x for x in written if "labels" in x.columns]
+    assert tried.select("component", "start").distinct().count() == 12
+    want = so.fusion_moves(n, u, v, w)
+    assert all((got[a] == got[b]) == (want[a] == want[b]) for a in range(n) for b in range(n))
